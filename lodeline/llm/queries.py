@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .language import op8_language_id
 from .mixing import op6_mix_sources
+from .ngram_join import OP2_SQL, op2_ngram_join
+from .pages import op10_extract_text
 from .quality import op3_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_join": op2_ngram_join,
         "op3_quality": op3_quality,
         "op6_mix_sources": op6_mix_sources,
         "op8_language_id": op8_language_id,
+        "op10_extract_text": op10_extract_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_ngram_join": OP2_SQL,
+    }
