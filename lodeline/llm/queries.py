@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP7_SQL, op7_decontaminate
 from .language import op8_language_id
 from .mixing import op6_mix_sources
 from .ngram_join import OP2_SQL, op2_ngram_join
 from .pages import op10_extract_text
+from .pii import op1_pii
 from .quality import op3_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_ngram_join": op2_ngram_join,
         "op3_quality": op3_quality,
         "op6_mix_sources": op6_mix_sources,
+        "op7_decontaminate": op7_decontaminate,
         "op8_language_id": op8_language_id,
         "op10_extract_text": op10_extract_text,
     }
@@ -26,4 +30,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_join": OP2_SQL,
+        "op7_decontaminate": OP7_SQL,
     }
