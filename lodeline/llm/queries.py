@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP7_SQL, op7_decontaminate
+from .embedding_dedup import op4_embedding_dedup
 from .language import op8_language_id
 from .mixing import op6_mix_sources
 from .ngram_join import OP2_SQL, op2_ngram_join
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_ngram_join": op2_ngram_join,
         "op3_quality": op3_quality,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op6_mix_sources": op6_mix_sources,
         "op7_decontaminate": op7_decontaminate,
         "op8_language_id": op8_language_id,
