@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .embedding_dedup import op4_embedding_dedup
 from .language import op8_language_id
+from .licenses import op5_licenses
 from .mixing import op6_mix_sources
 from .ngram_join import OP2_SQL, op2_ngram_join
 from .pages import op10_extract_text
+from .passages import op9_shared_passages
 from .pii import op1_pii
 from .quality import op3_quality
 
@@ -22,9 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_join": op2_ngram_join,
         "op3_quality": op3_quality,
         "op4_embedding_dedup": op4_embedding_dedup,
+        "op5_licenses": op5_licenses,
         "op6_mix_sources": op6_mix_sources,
         "op7_decontaminate": op7_decontaminate,
         "op8_language_id": op8_language_id,
+        "op9_shared_passages": op9_shared_passages,
         "op10_extract_text": op10_extract_text,
     }
 
