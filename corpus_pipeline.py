@@ -20,10 +20,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document of least id."""
-    groups = ngram_join.join(docs, words=5, p=80, q=100)
+    groups = stage(ngram_join.join(docs, words=5, p=80, q=100), "groups")
     extra = stage(groups.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct(), "extra")
     held = docs.join(extra, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    return held.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    # Ids that several kept rows have; where there are none, texts needn't be shuffled.
+    again = stage(groups.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1"), "again")
+    return (held if again.isEmpty() else held.dropDuplicates(["doc_id", "text"])).select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
