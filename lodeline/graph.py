@@ -25,11 +25,12 @@ class EvidenceGraph:
             ids = self.entities.select("id")
             r = r.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
         rest = [F.col("id").alias("rel_id"), "relationship", "confidence", "evidence_ids"]
-        out = r.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), *rest)
-        back = r.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"), *rest)
-        if direction == "outgoing":
-            return out
-        return back if direction == "incoming" else out.union(back.where("src <> dst"))
+        ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+        out, back = ends("source_id", "target_id"), ends("target_id", "source_id")
+        if direction == "undirected":  # one scan gives both views
+            both = F.when(F.col("source_id") == F.col("target_id"), F.array(out)).otherwise(F.array(out, back))
+            return r.select(F.explode(both).alias("e"), *rest).select("e.src", "e.dst", "rel_id", "relationship", "confidence", "evidence_ids")
+        return r.select((out if direction == "outgoing" else back).alias("e"), *rest).select("e.src", "e.dst", "rel_id", "relationship", "confidence", "evidence_ids")
 
     def only(self, *relationships: str) -> EvidenceGraph:
         return EvidenceGraph(self.entities, self.relationships.where(F.col("relationship").isin(*relationships)), self.evidence)

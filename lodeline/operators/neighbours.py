@@ -19,19 +19,19 @@ def neighbors(graph: EvidenceGraph, entity_id: str, direction: str = "undirected
 def case_edges(graph: EvidenceGraph, case_id: str) -> DataFrame:
     """Edges that touch the case or one of its neighbours, but for those that
     lead from a neighbour to another case.  Anchored at the case: two joins."""
-    und = graph.edges()
+    raw = graph.edges(known=False)
+    columns = raw.columns
     kind = graph.entities.select(F.col("id").alias("dst"), "entity_type")
-    first = und.where(F.col("src") == case_id)
-    near = first.select(F.col("dst").alias("src")).where(F.col("src") != case_id).distinct()
-    second = und.join(near, "src").join(kind, "dst").where((F.col("entity_type") != "CASE") | (F.col("dst") == case_id)).select(first.columns)
+    first = raw.where(F.col("src") == case_id).join(kind, "dst").select(columns)
+    near = first.where(F.col("dst") != case_id).select(F.col("dst").alias("src")).distinct()
+    second = raw.join(near, "src").join(kind, "dst").where((F.col("entity_type") != "CASE") | (F.col("dst") == case_id)).select(columns)
     return first.union(second).dropDuplicates(["rel_id"])
 
 
 def case_nodes(graph: EvidenceGraph, case_id: str) -> DataFrame:
-    e = case_edges(graph, case_id)
-    ends = e.select(F.col("src").alias("id")).union(e.select("dst"))
-    own = graph.entities.where(F.col("id") == case_id).select("id")
-    return graph.entities.join(ends.union(own).distinct(), "id", "left_semi")
+    ends = case_edges(graph, case_id).select(F.explode(F.array("src", "dst", F.lit(case_id))).alias("id"))
+    alone = graph.entities.where(F.col("id") == case_id).select("id")
+    return graph.entities.join(ends.union(alone).distinct(), "id", "left_semi")
 
 
 def case_membership(graph: EvidenceGraph) -> DataFrame:

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import extract as X
 
 
+def _marked(values: Column, kind: str, confidence: float) -> Column:
+    return F.transform(values, lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("value"), F.lit(confidence).alias("confidence")))
+
+
 def line_mentions(docs: DataFrame) -> DataFrame:
     """doc_id, line (from 1), kind, value, confidence: mentions per line; `first`
     marks the line where a document has a value first."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "text")).where("trim(text) <> ''")
     kinds = [("PHONE", X.phones("text"), 0.95), ("VEHICLE", X.plates("text"), 0.94), ("PERSON", X.persons_of_line("text"), 0.92)]
-    all_ = F.flatten(F.array(*[F.transform(F.array_distinct(v), lambda m, k=k, c=c: F.struct(F.lit(k).alias("kind"), m.alias("value"), F.lit(c).alias("confidence"))) for k, v, c in kinds]))
+    all_ = F.flatten(F.array(*[_marked(F.array_distinct(v), k, c) for k, v, c in kinds]))
     out = lines.select("doc_id", (F.col("pos") + 1).alias("line"), "text", F.explode(all_).alias("m")).select("doc_id", "line", "text", "m.*")
     return out.withColumn("first", F.row_number().over(Window.partitionBy("doc_id", "kind", "value").orderBy("line")) == 1)
 
@@ -29,7 +33,7 @@ def uses_relations(docs: DataFrame) -> DataFrame:
 def _entities(distinct_persons: bool) -> Column:
     persons = F.array_distinct(X.persons("text")) if distinct_persons else X.persons("text")
     kinds = [("PHONE", F.array_distinct(X.found("text", X.PHONE_BOUND)), 0.96), ("VEHICLE", F.array_distinct(X.plates("text")), 0.94), ("PERSON", persons, 0.95)]
-    return F.flatten(F.array(*[F.transform(v, lambda m, k=k, c=c: F.struct(F.lit(k).alias("kind"), m.alias("value"), F.lit(c).alias("confidence"))) for k, v, c in kinds]))
+    return F.flatten(F.array(*[_marked(v, k, c) for k, v, c in kinds]))
 
 
 def document_entities(docs: DataFrame, distinct_persons: bool = False) -> DataFrame:

@@ -79,9 +79,9 @@ _pairs AS (
 rel AS MATERIALIZED (SELECT 'REL_' || tag || '_' || a || '_' || b AS id, sk || '_' || a AS source_id, r AS relationship, tk || '_' || b AS target_id,
   round(CAST(0.60 AS DOUBLE) + CAST((a * 31 + b * 17) % 40 AS DOUBLE) / 100, 2) AS confidence, 'EVID_REL_' || tag || '_' || a || '_' || b AS evid, n, 'DOC_' || b AS doc FROM _pairs),
 ent AS MATERIALIZED (
-  SELECT 'CASE_' || o_orderkey AS id, 'CASE' AS entity_type, NULL AS name, 'Order ' || o_orderkey AS title, NULL AS phone_number,
+  SELECT 'CASE_' || o_orderkey AS id, 'CASE' AS entity_type, CAST(NULL AS VARCHAR) AS name, 'Order ' || o_orderkey AS title, CAST(NULL AS VARCHAR) AS phone_number,
     CASE o_orderstatus WHEN 'F' THEN 'CLOSED' WHEN 'O' THEN 'ACTIVE' ELSE 'UNDER_INVESTIGATION' END AS status, o_orderpriority AS priority,
-    strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS incident_date, NULL AS event_type, NULL AS ts, NULL AS location_id, NULL AS description FROM orders
+    strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS incident_date, CAST(NULL AS VARCHAR) AS event_type, CAST(NULL AS VARCHAR) AS ts, CAST(NULL AS VARCHAR) AS location_id, CAST(NULL AS VARCHAR) AS description FROM orders
   UNION ALL SELECT 'PERSON_' || c_custkey, 'PERSON', c_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'LOC_' || c_nationkey, c_mktsegment FROM customer
   UNION ALL SELECT 'PHONE_' || p_partkey, 'PHONE', NULL, NULL, p_name, NULL, NULL, NULL, NULL, NULL, NULL, p_brand FROM part
   UNION ALL SELECT 'ORG_' || s_suppkey, 'ORGANIZATION', s_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'LOC_' || s_nationkey, NULL FROM supplier
