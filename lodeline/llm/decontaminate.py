@@ -61,7 +61,7 @@ def matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, slop: int |
     counts = stage(_terms(docs).join(few, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts")
     # The two rarest places of every window; a window of one word has one.
     places = windows.select("window", F.posexplode("phrase").alias("offset", "term")).join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("window").orderBy("df", "offset"))
+    rank = F.row_number().over(Window.partitionBy("window").orderBy(F.col("df") == 0, "df", "offset"))
     ranked = places.withColumn("rank", rank)
     # A window with a term that the corpus lacks cannot occur.
     possible = ranked.groupBy("window").agg(F.min("df").alias("least"), F.count(F.lit(1)).alias("n")).where(F.lit(slop is not None) | (F.col("least") > 0))
