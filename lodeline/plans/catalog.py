@@ -191,14 +191,15 @@ def _(g, spark, sf):
 _PATHS = """, e2 AS MATERIALIZED (SELECT * FROM und WHERE relationship IN ('INVOLVED_IN', 'USES')),
 walk(cur, nodes, rels, conf, evid) AS (SELECT 'CASE_1', ['CASE_1'], CAST([] AS VARCHAR[]), CAST(1.0 AS DOUBLE), CAST([] AS VARCHAR[])
   UNION ALL SELECT e.dst, list_append(w.nodes, e.dst), list_append(w.rels, e.rel_id), least(w.conf, e.confidence), list_append(w.evid, e.evid) FROM walk w JOIN e2 e ON e.src = w.cur WHERE len(w.rels) < 4 AND NOT list_contains(w.nodes, e.dst)),
-p AS MATERIALIZED (SELECT 'CASE_1' AS source_id, cur AS target_id, nodes, rels, array_to_string(nodes, '->') AS path, CAST(len(rels) AS BIGINT) AS hop_count, round(conf, 2) AS confidence, array_to_string(list_sort(list_distinct(evid)), ',') AS evidence FROM walk WHERE regexp_matches(cur, '^CASE_[2-9][0-9]$') AND len(rels) > 0)
+p AS MATERIALIZED (SELECT 'CASE_1' AS source_id, cur AS target_id, nodes, rels, array_to_string(nodes, '->') AS path, CAST(len(rels) AS BIGINT) AS hop_count, round(conf, 2) AS confidence, array_to_string(list_sort(list_distinct(evid)), ',') AS evidence FROM walk WHERE starts_with(cur, 'CASE_') AND len(rels) > 0)
 """
 _INNER = "unnest(nodes[2:len(nodes) - 1])"
 
 
 def _routes(g: EvidenceGraph) -> DataFrame:
+    """From one case to all others."""
     ids = g.entities.where("entity_type = 'CASE'").select("id")
-    return paths.simple_paths(g.only(*ROUTES), ids.where("id = 'CASE_1'"), ids.where(F.col("id").rlike("^CASE_[2-9][0-9]$")), 4).withColumn("hop_count", F.col("hop_count").cast("long"))
+    return paths.simple_paths(g.only(*ROUTES), ids.where("id = 'CASE_1'"), ids.where("id <> 'CASE_1'"), 4).withColumn("hop_count", F.col("hop_count").cast("long"))
 
 
 def _shown(p: DataFrame) -> DataFrame:
@@ -256,10 +257,15 @@ def _(g, spark, sf):
     return paths.best(_routes(g)).where("hop_count >= 4 and source_id < target_id")
 
 
-@_add("cross_case_bridges", _BEST.format(order="hop_count, confidence DESC, path", cols="source_id, target_id, hop_count, confidence, path").replace("^CASE_[2-9][0-9]$", "^CASE_[2-9]$"))
+_PERSONS_CASES = ", k AS (SELECT DISTINCT dst AS id FROM und WHERE src = 'PERSON_5' AND relationship = 'INVOLVED_IN')"
+
+
+@_add("cross_case_bridges", _PERSONS_CASES + """, p AS (SELECT a.src AS source_id, b.dst AS target_id, CAST(2 AS BIGINT) AS hop_count, round(least(a.confidence, b.confidence), 2) AS confidence, a.src || '->PERSON_5->' || b.dst AS path
+  FROM und a JOIN und b ON a.dst = 'PERSON_5' AND b.src = 'PERSON_5' AND a.src < b.dst WHERE a.src IN (SELECT id FROM k) AND b.dst IN (SELECT id FROM k) AND a.relationship = 'INVOLVED_IN' AND b.relationship = 'INVOLVED_IN') SELECT * FROM p""")
 def _(g, spark, sf):
-    ids = g.entities.where("entity_type = 'CASE'").select("id").where(F.col("id").rlike("^CASE_[1-9]$"))
-    return patterns.bridges(g.only(*ROUTES), ids).where("source_id = 'CASE_1'").withColumn("hop_count", F.col("hop_count").cast("long"))
+    """The best route between every two cases of a person: cases have one person each, so it runs through that one."""
+    ids = neighbours.adjacent_cases(g).where(F.col("id") == PERSON).select(F.col("case_id").alias("id"))
+    return patterns.bridges(g.only(*ROUTES), ids).withColumn("hop_count", F.col("hop_count").cast("long"))
 
 
 # ---- text
