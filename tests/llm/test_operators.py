@@ -305,6 +305,15 @@ def test_passages(spark, docs, none):
     assert passages.passages(docs).count() > 0 and passages.passages(none).count() == 0
 
 
+def test_passages_apart_in_both_texts(spark):
+    rng = random.Random(8)
+    for n, gap in ((60, 70), (100, 100), (200, 200)):
+        one, two = prose(rng, n), prose(rng, n)
+        rows = [(i, " ".join([prose(rng, 30), one, prose(rng, gap), two, prose(rng, 30)])) for i in range(2)]
+        got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in got) == [(i, at, at + n) for i in range(2) for at in (30, 30 + n + gap)]
+
+
 def test_chains_are_collinear():
     x = np.array([0, 10, 20, 500, 30, 40])
     y = np.array([100, 110, 121, 5, 131, 141])
