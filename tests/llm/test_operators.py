@@ -314,6 +314,23 @@ def test_passages_apart_in_both_texts(spark):
         assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in got) == [(i, at, at + n) for i in range(2) for at in (30, 30 + n + gap)]
 
 
+def test_passages_at_the_threshold(spark):
+    """Every passage that is 0.8 alike is found: one word in eight or in five replaced, or any."""
+    rng = random.Random(11)
+    rows, at = [], {}
+    for n, k in ((60, 8), (60, 5), (1000, 8)) + ((60, 0),) * 60:
+        one = prose(rng, n).split()
+        two = list(one)
+        for i in range(k - 1, n - 1, k) if k else rng.sample(range(1, n - 1), 12):
+            two[i] = word(rng)
+        for w in (one, two):
+            at[len(rows)] = n
+            rows.append((len(rows), " ".join([prose(rng, 30), *w, prose(rng, 30)])))
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == set(at)
+    assert all(30 <= r["start_word"] and r["end_word"] <= 30 + at[r["doc_id"]] and r["n_words"] >= max(50, at[r["doc_id"]] - 20) for r in got)
+
+
 def test_chains_are_collinear():
     x = np.array([0, 10, 20, 500, 30, 40])
     y = np.array([100, 110, 121, 5, 131, 141])
