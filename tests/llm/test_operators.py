@@ -331,6 +331,18 @@ def test_passages_at_the_threshold(spark):
     assert all(30 <= r["start_word"] and r["end_word"] <= 30 + at[r["doc_id"]] and r["n_words"] >= max(50, at[r["doc_id"]] - 20) for r in got)
 
 
+def test_passages_of_frequent_lines(spark):
+    """Two texts share 60 words in three lines, each of which many other texts have."""
+    rng = random.Random(12)
+    lines = [prose(rng, 20) for _ in range(3)]
+    rows = [" ".join([prose(rng, 40), *(lines if k == 3 else [lines[k]]), prose(rng, 40)]) for k in [0, 1, 2] * 15 + [3, 3]]
+    # Also where each two lines that meet are frequent.
+    more = [prose(rng, 20) for _ in range(3)]
+    rows += [" ".join([prose(rng, 40), *(more if k == 2 else more[k : k + 2]), prose(rng, 40)]) for k in [0, 1] * 15 + [2, 2]]
+    got = passages.passages(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == {(i, 40, 100) for i in (45, 46, 77, 78)}
+
+
 def test_chains_are_collinear():
     x = np.array([0, 10, 20, 500, 30, 40])
     y = np.array([100, 110, 121, 5, 131, 141])
