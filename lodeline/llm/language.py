@@ -21,8 +21,8 @@ from ._common import held_out, in_order, table
 GRAM = 3
 #: Ranks in a profile.
 PROFILE = 300
-#: Documents per language that profiles are learned from, the first in a hashed
-#: order; and the languages that a model may have.
+#: Distinct texts per language that profiles are learned from, the first in a
+#: hashed order; and the languages that a model may have.
 LEARN_DOCS = 2000
 LANGUAGES = 1000
 _RUN = 1 << 18
@@ -136,17 +136,24 @@ def _counted(total: dict[str, dict[int, int]]) -> pa.RecordBatch:
 
 
 def learn(docs: DataFrame, learn_docs: int = LEARN_DOCS, size: int = PROFILE) -> RankProfiles:
-    """Profiles from docs(text, lang).  At most learn_docs documents of each of
-    LANGUAGES languages are used, those that come first by a hash of the text; what reaches the
-    driver is `size` n-grams for each language."""
+    """Profiles from docs(text, lang).  At most learn_docs distinct texts of each of
+    LANGUAGES languages are used, each once, those that come first by a hash of the text;
+    what reaches the driver is `size` n-grams for each language."""
     used = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sizes = used.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    place = (F.shiftrightunsigned(in_order(["text"], "profile"), 11).cast("double")) / float(1 << 53)
+    used = used.withColumn("place", place)
+    texts = used.groupBy("lang", "place").count()
+    sizes = texts.groupBy("lang").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("texts"), F.min("place").alias("first"))
+    sizes = sizes.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return RankProfiles([], [], size)
-    # A threshold on the hash that lets about learn_docs rows of the language pass.
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, learn_docs / r["count"])))])
-    place = (F.shiftrightunsigned(in_order(["text"], "profile"), 11).cast("double")) / float(1 << 53)
-    sample = used.where(place < share[F.col("lang")])
+    # A threshold on the hash that some more than learn_docs texts of the language
+    # pass, one at least; of them the first are taken.
+    most = learn_docs + 6 * learn_docs**0.5
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(max(r["first"], most / r["texts"])))])
+    passed = used.where(F.col("place") <= share[F.col("lang")]).dropDuplicates(["lang", "text"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    sample = passed.withColumn("first", first).where(F.col("first") <= learn_docs).select("text", "lang")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     by: dict[str, list[int]] = {}

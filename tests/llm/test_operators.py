@@ -282,6 +282,17 @@ def test_language(spark, docs, none):
     assert language.identify(none, model).count() == 0 and language.learn(none).langs == []
 
 
+def test_language_learns_from_distinct_texts(spark):
+    rng = random.Random(4)
+    en, de = [word(rng) for _ in range(60)], [word(rng) + "ü" for _ in range(60)]
+    rows = [("zzz zzzz qqq", "en")] * 3000 + [(prose(rng, 60, en), "en") for _ in range(40)] + [(prose(rng, 60, de), "de") for _ in range(40)]
+    d = spark.createDataFrame(rows, "text string, lang string")
+    once = language.learn(d.distinct(), learn_docs=20)
+    model = language.learn(d, learn_docs=20)
+    assert model.langs == once.langs == ["de", "en"] and (model.gram == once.gram).all() and (model.rank == once.rank).all()
+    assert language.learn(d, learn_docs=1).langs == ["de", "en"]
+
+
 def test_grams_count_whole_texts():
     text = "Ab cab " * (language._RUN // 5)
     g, c = language.grams(text)
