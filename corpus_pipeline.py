@@ -19,13 +19,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document of least id."""
-    groups = stage(ngram_join.join(docs, words=5, p=80, q=100), "groups")
-    extra = stage(groups.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct(), "extra")
-    held = docs.join(extra, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    # Ids that several kept rows have; where there are none, texts needn't be shuffled.
-    again = stage(groups.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1"), "again")
-    return (held if again.isEmpty() else held.dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    """Of each group of near copies (five words, 0.8) one row, of the least id."""
+    # Ids may recur or be null, so rows go by a hash of id and text; rows equal in both are one.
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    groups = ngram_join.join(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, p=80, q=100)
+    groups = stage(groups.groupBy(F.col("doc_id").alias("_key")).agg(F.first("component_id").alias("group"), F.count(F.lit(1)).alias("n")), "groups")
+    shared = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("of")).where("of > 1"), "group").select("_key", "group")
+    named = shared.join(keyed.select("_key", "doc_id").distinct(), "_key")
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("first"))
+    extra = stage(named.join(first, "group").where("_key <> first").select("_key"), "extra")
+    held = keyed.join(extra, "_key", "left_anti")
+    # Where no kept row recurs, texts needn't be shuffled.
+    again = groups.where("n > 1").join(extra, "_key", "left_anti")
+    return (held if again.isEmpty() else held.dropDuplicates(["_key"])).select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

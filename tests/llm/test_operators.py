@@ -99,6 +99,21 @@ def test_ngram_join(docs, corpus, n, p, q):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, len(sets[i]), top(i)) for i in sets}
 
 
+def test_one_row_of_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    base, alone = prose(rng, 100), [prose(rng, 100) for _ in range(3)]
+    copy = lambda: edited(rng, base, 1)
+    other = prose(rng, 100)
+    third = prose(rng, 100)
+    rows = [(3, base), (None, copy()), (None, alone[0]), (7, copy()), (7, alone[1]), (8, alone[2]), (8, alone[2])]
+    rows += [(9, other), (9, edited(rng, other, 1)), (None, third), (None, edited(rng, third, 1))]
+    got = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 0, 3, 7, 8, 9]
+    assert {base, *alone} <= {r["text"] for r in got}
+
+
 def test_signatures_meet_at_the_threshold():
     rng = np.random.default_rng(3)
     for p, q in ((85, 100), (80, 100), (60, 100)):
