@@ -146,6 +146,17 @@ def test_pseudonyms(spark, docs, none):
     assert pii.pseudonymise(docs).count() == docs.count() and pii.pseudonymise(none).count() == 0
 
 
+def test_pseudonyms_beside_other_groups(spark):
+    card, iban, long = "4111111111111111", "ES9121000418450200051332", "aB3" * 60
+    texts = ["pay 4111 1111 1111 1111 123 now", f"{card} 12/27", f"{iban} BIC", f"{card} 123-45-6789", f"token={long} end", "4111111111111112 123"]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert re.fullmatch(r"pay 4\d{3} \d{4} \d{4} \d{4} 123 now", got[0]) and "4111 1111 1111 1111" not in got[0]
+    assert re.fullmatch(r"4\d{15} 12/27", got[1]) and card not in got[1]
+    assert re.fullmatch(r"ES\d{22} BIC", got[2]) and iban not in got[2]
+    assert re.fullmatch(r"4\d{15} \d{3}-\d{2}-\d{4}", got[3]) and card not in got[3] and "123-45-6789" not in got[3]
+    assert re.fullmatch(r"token=[0-9a-f]{180} end", got[4]) and got[5] == texts[5]
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(12 * 7).select(F.floor(F.col("id") / 7).alias("a"), (F.col("id") % 7).alias("b"))
     moved = n.select(pii.feistel(F.col("a"), F.col("b"), F.lit(12), F.lit(7), F.lit("t"), "k").alias("s")).select("s.a", "s.b").collect()
