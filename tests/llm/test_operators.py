@@ -237,6 +237,12 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none.select(path, "text")).count() == 0
 
 
+def test_licenses_beside_copyright(spark):
+    rows = [("a", "Copyright 2021 Example Corp. Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("b", "# Copyright (c) 2019 Jane Doe and contributors. Released under the MIT License.", "MIT"), ("c", "Copyright (C) 2020 Acme Ltd. SPDX-License-Identifier: MIT", "MIT"), ("d", "// Copyright 2020 Acme SPDX-License-Identifier: Apache-2.0 */ int x;", "Apache-2.0"), ("e", "Copyright 2020 Acme Ltd. and friends.", None)]
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string, want string")).collect()
+    assert [(r["path"], r["license"]) for r in sorted(got)] == [(p, w) for p, _, w in rows]
+
+
 def test_mixing(docs, corpus, none):
     got = mixing.mix(docs).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
