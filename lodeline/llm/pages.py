@@ -40,6 +40,9 @@ _NAMES = set(
     "share sharing social related recommended recommendations trending popular comment comments commentlist discussion disqus respond reply replies responses widget pagination "
     "pager search paywall skip hidden".split()
 )
+#: Of them, those that an article's heading may have; words that say where furniture is.
+_HEADERS = {"header", "masthead", "banner"}
+_PLACES = {"site", "left", "right", "bottom", "box", "links", "list", "global"}
 #: Those that mark an article as not the page's own.
 _BESIDE = {"ad", "ads", "advert", "comment", "comments", "reply", "related", "recommended", "promo", "sponsored", "teaser"}
 _FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "figcaption"}
@@ -48,8 +51,18 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPE = {"html", "body", "table", "ul", "ol", "dl", "select", "td", "th", "div", "section", "article", "main", "nav", "aside", "header", "footer", "form"}
 
 
+def _marks(names: str, marks: set[str]) -> set[str]:
+    """The words of marks in those classes and ids that have no word but these and places."""
+    found: set[str] = set()
+    for token in names.split():
+        words = set(re.split(r"[^a-z]+", token)) - {""}
+        if words & marks and words <= marks | _PLACES:
+            found |= words & marks
+    return found
+
+
 class _Element:
-    __slots__ = ("tag", "names", "parts", "furniture", "main", "key")
+    __slots__ = ("tag", "names", "parts", "furniture", "named", "main", "key")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.parts, self.key = tag, [], 0
@@ -57,9 +70,12 @@ class _Element:
         self.names = f"{given.get('class', '')} {given.get('id', '')}".strip().lower() if given else ""
         role = given.get("role", "").lower()
         self.main = tag in ("article", "main") or role in ("main", "article") or given.get("itemprop", "").lower() == "articlebody"
-        named = bool(self.names) and tag not in ("html", "body") and bool((_BESIDE if self.main else _NAMES) & set(re.split(r"[^a-z]+", self.names)))
+        found = _marks(self.names, _BESIDE if self.main else _NAMES) if self.names and tag not in ("html", "body") else set()
         unseen = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").lower().replace(" ", "")
-        self.furniture = tag in _FURNITURE or role in _ROLES or named or unseen
+        #: Whether only names mark the element, and whether only as a header.
+        plain = not (tag in _FURNITURE or role in _ROLES or unseen)
+        self.named = (2 if found <= _HEADERS else 1) if found and plain else 0
+        self.furniture = bool(found) or not plain
 
 
 def parse(page: str) -> _Element:
@@ -141,15 +157,28 @@ def key(e: _Element) -> int:
     return e.key
 
 
-def _main(root: _Element) -> list[_Element]:
-    """The outermost elements that hold the article, else the whole page."""
+def _spared(e: _Element) -> bool:
+    """Whether an element named as a header holds a heading."""
+    return e.named == 2 and any(x.tag in ("h1", "h2") for x in _deep(e))
+
+
+def _mains(root: _Element, named: bool) -> list[_Element]:
     found, todo = [], [root]
     while todo:
         e = todo.pop()
-        if e.main and not e.furniture:
+        if e.furniture and not (named and e.named and not e.main):
+            continue
+        if e.main:
             found.append(e)
-        elif not e.furniture:
+        else:
             todo += [x for x in reversed(e.parts) if x.__class__ is _Element]
+    return found
+
+
+def _main(root: _Element) -> list[_Element]:
+    """The outermost elements that hold the article, else the whole page.  Where
+    all of them are inside elements that only a name marks, these are no furniture."""
+    found = _mains(root, False) or _mains(root, True)
     inner = []
     for e in found:  # a main that wraps articles stands for them
         if e.tag != "article":
@@ -187,7 +216,7 @@ def main_text(root: _Element, template: frozenset | set = frozenset(), met: set
                 out.append(e)
                 continue
             if e is not main:
-                if e.furniture or e.tag == "header" and (whole or not any(x.tag in ("h1", "h2") for x in _deep(e))):
+                if e.furniture and (whole or not _spared(e)) or e.tag == "header" and (whole or not any(x.tag in ("h1", "h2") for x in _deep(e))):
                     out.append(" ")
                     continue
                 if e.tag not in _INLINE and (whole or e.tag not in _FLOW) and e.tag not in ("html", "body") and not e.main:

@@ -404,3 +404,10 @@ def test_pages(spark):
     for i, b in enumerate(body):
         assert got[i]["text"] == html.unescape(f"A & B {i} " + re.sub("<.*?>", "", b)) and got[i]["n_chars"] == len(got[i]["text"])
     assert got[20]["text"] == got[21]["text"] == "" and got[22]["text"] == "plain text <x> more line cut"
+
+
+def test_pages_named_around_articles():
+    art = "<article><div class='post-header'><h1>Head</h1></div><div class='header'><h2>Sub</h2></div><p>Body text.</p><div class='share'>Share</div></article>"
+    for page in (f"<div class='layout has-sidebar'>{art}</div>", f"<div id=page class='menu-closed'>{art}</div>", f"<div class='sidebar'>{art}</div>", f"<div class='related'><article>Other</article></div>{art}"):
+        assert pages.main_text(pages.parse(f"<html><body>{page}</body></html>")) == "Head Sub Body text."
+    assert pages.main_text(pages.parse("<div class='cookie-notice'>x</div><div class='site-footer'>y</div><p>Text</p>")) == "Text"
