@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a broadcast of identifiers may have; beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes, as JSON, that any broadcast table may have.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +40,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a staged table for broadcast if its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a staged table for broadcast if its counted rows and measured bytes are within the bounds."""
+    if df.count() > rows:
+        return df
+    wide = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    return F.broadcast(df) if (df.agg(wide).first()[0] or 0) <= size else df
 
 
 def held_out(doc_id: Column | str = "doc_id", folds: int = 5) -> Column:

@@ -411,3 +411,44 @@ def test_pages_named_around_articles():
     for page in (f"<div class='layout has-sidebar'>{art}</div>", f"<div id=page class='menu-closed'>{art}</div>", f"<div class='sidebar'>{art}</div>", f"<div class='related'><article>Other</article></div>{art}"):
         assert pages.main_text(pages.parse(f"<html><body>{page}</body></html>")) == "Head Sub Body text."
     assert pages.main_text(pages.parse("<div class='cookie-notice'>x</div><div class='site-footer'>y</div><p>Text</p>")) == "Text"
+
+
+def test_licenses_against_brute_force(spark):
+    """All columns' names clash with internal ones; long texts, nulls, ties and repeats."""
+    from collections import Counter
+
+    rng = random.Random(21)
+    names = [n for n, _ in licenses.TEMPLATES]
+    split = lambda t: re.findall("[a-z0-9]+", t.lower())
+    w = licenses.Weights(licenses.TEMPLATES)
+    known = [t for _, n in licenses.TEMPLATES for t in split(n)]
+
+    def unit(u):
+        c = Counter(split(u))
+        own = {t: n * w.idf.get(t, w.other) for t, n in c.items()}
+        norm = sum(x * x for x in own.values()) ** 0.5
+        cos = [sum(own[t] * k[t] * w.idf[t] for t in own if t in k) / m / norm for k, m in zip(w.counts, w.norms)] if norm else []
+        return min(((-round(s, 6), n) for s, n in zip(cos, names) if round(s, 6) >= licenses.THRESHOLD), default=None)
+
+    def units(t):
+        lines = re.split(r"\r?\n", t)
+        out = lines + [s for x in lines for s in re.split(r"(?<=[.!?|])\s+", x)] + re.split(r"\r?\n[ \t]*\r?\n", t)
+        return [x.strip(" ") for x in out + re.findall(r"(?i)\bSPDX-License-Identifier:[ \t]*[A-Za-z0-9.+\-]+", t)]
+
+    texts = [None, "", "bare CC BY 4.0", prose(rng, 40) + "\nReleased under the MIT License.\n" + prose(rng, 40)]
+    for _, notice in licenses.TEMPLATES:
+        x = notice.split()
+        texts += [notice, " ".join(x[: max(3, len(x) * 2 // 3)]), " ".join(rng.sample(x, len(x))) + " " + prose(rng, 3), f"{prose(rng, 9)} {notice} {prose(rng, 9)}\n\n{prose(rng, 20)}"]
+    texts += [" ".join(rng.choice(known) for _ in range(n)) + " " + prose(rng, n // 2) for n in range(2, 60, 3)]
+    texts += [prose(rng, 160_000), "the license " * 60_000 + prose(rng, 2000)]
+    texts += texts[:6]
+    rows = [(f"d/{i}", t, 1, "s", "f", "p", 0.5, "x", "y") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "path string, text string, start int, named string, folder string, own string, _key double, kept string, b string")
+    got = {r["path"]: r for r in licenses.scan(df).collect()}
+    assert len(got) == len(rows) and all(r["kept"] == "x" and r["start"] == 1 for r in got.values())
+    for path, text, *_ in rows:
+        found = sorted(x for u in units(text or "") if (x := unit(u)))
+        r = got[path]
+        assert (r["license"], r["licenses"]) == (found[0][1] if found else None, sorted({n for _, n in found})), text
+        assert not found or r["score"] == pytest.approx(-found[0][0], abs=2e-6)
+    assert sum(r["origin"] == "own" for r in got.values()) > 60
