@@ -389,10 +389,77 @@ def test_passages_of_frequent_lines(spark):
 def test_chains_are_collinear():
     x = np.array([0, 10, 20, 500, 30, 40])
     y = np.array([100, 110, 121, 5, 131, 141])
-    first = passages.chains(x, y)[0]
+    first = passages.chains(x, y, np.array([4, 4, 4, 9, 4, 4]))[0]
     assert first.tolist() == [0, 1, 2, 4, 5]
 
 
+def test_passages_of_parts_found_elsewhere(spark):
+    """A and B share 70 words; C has the first 40 of them and D the last 40, also where each part is in many texts."""
+    rng = random.Random(13)
+    for others in (1, 30):
+        one = prose(rng, 70).split()
+        parts = [one, one] + [one[:40], one[30:]] * others
+        rows = [(i, " ".join([prose(rng, 60), *p, prose(rng, 60)])) for i, p in enumerate(parts)]
+        got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == {(0, 60, 130), (1, 60, 130)}
+
+
+def test_passages_of_exact_runs_in_many_texts(spark):
+    """A and B share 51 words of which each 41 to 49 in a row are in many texts, which decide by whole windows."""
+    rng = random.Random(14)
+    one = prose(rng, 51).split()
+    parts = [one, one] + [one[k : k + 49] for k in (0, 1, 2)] * 20 + [one[k : k + 42] for k in range(10)] * 12
+    rows = [(i, " ".join([prose(rng, 60), *p, prose(rng, 60)])) for i, p in enumerate(parts)]
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(0, 60, 111), (1, 60, 111)} <= got and len(got) == 2
+
+
+def test_passages_of_long_texts(spark):
+    """Texts of many segments: their own repeats don't count, what others share is whole."""
+    rng = random.Random(15)
+    one, again = prose(rng, 3000), prose(rng, 80)
+    rows = [(0, f"{prose(rng, 700)} {one} {prose(rng, 900)} {again} {prose(rng, 2000)} {again}"), (1, f"{prose(rng, 33)} {one}"), (2, None), (3, f"{again} x"), (None, f"y {again}")]
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in passages.passages(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect()}
+    assert got == {(0, 700, 3700), (1, 33, 3033)}
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(0, 700, 3700), (0, 4600, 4680), (0, 6680, 6760), (1, 33, 3033), (3, 0, 80), (None, 1, 81)}
+
+
+def test_passages_against_brute_force(spark):
+    """Every pair of texts on every diagonal, word by word; edits are replacements."""
+    rng = random.Random(16)
+    bank = [prose(rng, rng.randint(50, 90)) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        w: list[str] = []
+        for _ in range(rng.randint(1, 3)):
+            w += prose(rng, rng.randint(0, 60)).split()
+            passage = rng.choice(bank)
+            w += edited(rng, passage, rng.randint(0, len(passage.split()) // 6)).split()
+        rows.append((i, " ".join(w + prose(rng, 10).split())))
+    split = [t.split() for _, t in rows]
+    wanted: dict[int, set[int]] = {}
+    for i, a in enumerate(split):
+        for j, b in enumerate(split[:i]):
+            for shift in range(-len(a) + 50, len(b) - 49):
+                lo, hi = max(0, -shift), min(len(a), len(b) - shift)
+                equal = np.array([a[k] == b[k + shift] for k in range(lo, hi)], int)
+                if equal.sum() < 40:
+                    continue
+                total = np.concatenate([[0], np.cumsum(equal)])
+                for k in range(len(equal) - 49):
+                    if equal[k] and equal[k + 49] and total[k + 50] - total[k] >= 40:
+                        wanted.setdefault(i, set()).update(range(lo + k, lo + k + 50))
+                        wanted.setdefault(j, set()).update(range(lo + k + shift, lo + k + shift + 50))
+    got: dict[int, set[int]] = {}
+    for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    found = sum(len(v & got.get(i, set())) for i, v in wanted.items())
+    all_ = sum(map(len, wanted.values()))
+    over = sum(len(v - wanted.get(i, set())) for i, v in got.items())
+    assert all_ > 5000 and found >= 0.98 * all_ and over <= 0.1 * all_, (found, all_, over)
+
+
 def test_pages(spark):
     rng = random.Random(3)
     body = [f"<p>{prose(rng, 30)}</p>" for _ in range(12)]
