@@ -41,6 +41,8 @@ BAND_RATIO = 1.2
 EXPECTED, SHARED, VERIFY = 32, 0.5, 20.0
 #: Members of a family that are compared as one block, and members to a salt of a centre.
 BLOCK, SALT = 256, 2048
+#: Rows of a key in a batch that are dealt by the key alone, and keys in a batch.
+FREQUENT, ROWS = 8, 1 << 20
 
 
 @lru_cache(maxsize=None)
@@ -129,24 +131,44 @@ def _named(n: int):
 def _signed(n: int, p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, seen = [], [], set()
+            keys, nodes, seen, rows = [], [], set(), 0
             for s in _sets(batch.column("text"), n):
                 if len(s) and (name := node(s)) not in seen:
                     seen.add(name)
                     keys.append(signatures(s, p, q))
                     nodes.append(np.full(len(keys[-1]), name, np.int64))
+                    rows += len(keys[-1])
+                    if rows > ROWS:
+                        yield _key_rows(np.concatenate(keys).view(np.int64), np.concatenate(nodes))
+                        keys, nodes, rows = [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                yield _key_rows(np.concatenate(keys).view(np.int64), np.concatenate(nodes))
 
     return run
 
 
+def _key_rows(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Rows with a salt: 0 for those that a key is dealt by; of a key that is
+    frequent in the batch, which therefore is shared, the rows beyond the first few
+    have a salt of their node's."""
+    order = np.argsort(key, kind="stable")
+    key, node = key[order], node[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    rank = np.arange(len(key)) - np.repeat(first, np.diff(np.concatenate([first, [len(key)]])))
+    salt = np.where(rank < FREQUENT, 0, 1 + node % 4093).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(salt)], ["key", "node", "salt"])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and node, distinct ones whose key has another node."""
+    """Of rows sorted by salt, key and node, distinct ones whose key has another
+    node; all of those with a salt have."""
     last: list = []  # rows of the key that the previous batch ended with: the first, and whether it was given out
 
     for batch in batches:
-        k, v = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        k, v, salt = (batch.column(c).to_numpy() for c in ("key", "node", "salt"))
+        if (salt > 0).any():
+            yield pa.RecordBatch.from_arrays([pa.array(k[salt > 0]), pa.array(v[salt > 0])], ["key", "node"])
+        k, v = k[salt == 0], v[salt == 0]
         if not len(k):
             continue
         if last:
@@ -252,9 +274,9 @@ def join(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100) -> DataFram
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = stage(rows.mapInArrow(_named(words), f"doc_id {kind}, n_shingles long, node long"), "named")
-    signed = rows.mapInArrow(_signed(words, p, q), "key long, node long")
+    signed = rows.mapInArrow(_signed(words, p, q), "key long, node long, salt int")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    keyed = signed.repartition(parts, "key").sortWithinPartitions("key", "node")
+    keyed = signed.repartition(parts, "key", "salt").sortWithinPartitions("salt", "key", "node")
     shared = stage(keyed.mapInArrow(_shared, "key long, node long"), "shared")
     score = shared.groupBy("node").agg(F.count(F.lit(1)).alias("keys"))
     scored = shared.join(score, "node")
@@ -262,7 +284,7 @@ def join(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100) -> DataFram
     family = stage(shared.join(centres, "key").where("node <> centre").select("centre", "node").distinct(), "family")
     edges = verified(rows, named, family, words, p, q)
     labelled = named.join(components(edges), "node", "left").withColumn("group", F.coalesce("root", "node"))
-    least = labelled.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    least = small(stage(labelled.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")), "least"))
     grouped = labelled.where("group is not null").join(least, "group").select("doc_id", "n_shingles", "component_id")
     alone = labelled.where("group is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.union(alone)
