@@ -26,7 +26,9 @@ SHARE = 0.2
 #: Hosts whose templates are broadcast; those of more hosts are joined by shuffle.
 BROADCAST_HOSTS = 50_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?:/?[a-zA-Z!?][^>]*)?\Z", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/<>]*+")
+#: What ends a tag, or begins a quoted value of it.
+_STOP = re.compile(r"[<>]|=\s*+([\"'])")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -48,6 +50,7 @@ _BESIDE = {"ad", "ads", "advert", "comment", "comments", "reply", "related", "re
 _FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "figcaption"}
 _ENDS_P = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "div", "table", "section", "article", "aside", "nav", "header", "footer", "form", "blockquote", "pre", "main", "figure", "hr", "address", "fieldset", "details"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_LISTS = {"table", "ul", "ol", "dl", "select"}
 _SCOPE = {"html", "body", "table", "ul", "ol", "dl", "select", "td", "th", "div", "section", "article", "main", "nav", "aside", "header", "footer", "form"}
 
 
@@ -62,10 +65,10 @@ def _marks(names: str, marks: set[str]) -> set[str]:
 
 
 class _Element:
-    __slots__ = ("tag", "names", "parts", "furniture", "named", "main", "key")
+    __slots__ = ("tag", "names", "parts", "furniture", "named", "main", "key", "headed")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.parts, self.key = tag, [], 0
+        self.tag, self.parts, self.key, self.headed = tag, [], 0, tag in ("h1", "h2")
         given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
         self.names = f"{given.get('class', '')} {given.get('id', '')}".strip().lower() if given else ""
         role = given.get("role", "").lower()
@@ -78,61 +81,105 @@ class _Element:
         self.furniture = bool(found) or not plain
 
 
+def _token(page: str, at: int, quotes: set[str]) -> tuple[int, int, str, str] | None:
+    """The next markup: where it begins and ends, its name (with a slash for an end
+    tag, empty for comments and the like) and its attributes.  A tag that has no
+    end stops before the next one.  A quote that nothing closes is none, and is
+    taken out of quotes, so that none is looked for twice."""
+    size = len(page)
+    while (begin := page.find("<", at)) >= 0:
+        name = _NAME.match(page, begin + 1)
+        if name:
+            at = first = name.end()
+            while (stop := _STOP.search(page, at)) and stop[1]:
+                close = page.find(stop[1], stop.end()) if stop[1] in quotes else -1
+                if close < 0:
+                    quotes.discard(stop[1])
+                at = close + 1 if close >= 0 else stop.end()
+            last = stop.start() if stop else size
+            return begin, last + 1 if stop and stop[0] == ">" else last, name[0].lower(), page[first:last]
+        if page.startswith("!--", begin + 1):
+            close = page.find("-->", begin + 4)
+            return begin, close + 3 if close >= 0 else size, "", ""
+        if begin + 1 < size and page[begin + 1] in "!?/":
+            close = page.find(">", begin + 1)
+            return begin, close + 1 if close >= 0 else size, "", ""
+        at = begin + 1
+    return None
+
+
+class _Open:
+    """The open elements, outermost first, with the places of those of each name."""
+
+    def __init__(self, root: _Element):
+        self.all, self.at = [root], {}
+        self.scopes, self.lists = [], []
+
+    def last(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def push(self, e: _Element) -> None:
+        place = len(self.all)
+        self.all[-1].parts.append(e)
+        self.all.append(e)
+        self.at.setdefault(e.tag, []).append(place)
+        if e.tag in _SCOPE:
+            self.scopes.append(place)
+        if e.tag in _LISTS:
+            self.lists.append(place)
+
+    def close(self, place: int) -> None:
+        while len(self.all) > place:
+            self.at[self.all.pop().tag].pop()
+        for places in (self.scopes, self.lists):
+            while places and places[-1] >= place:
+                places.pop()
+
+
 def parse(page: str) -> _Element:
     """The page as a tree; unclosed and stray tags are put right as browsers do,
-    in short; text of raw elements (scripts, styles) is left out."""
+    in short; text of raw elements (scripts, styles) is left out.  Takes time in
+    proportion to the page, whatever it holds."""
     root = _Element("#root")
-    open_ = [root]
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
-            open_[-1].parts.append(page[at:])
-            break
-        if m.start() > at:
-            open_[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+    open_ = _Open(root)
+    at, quotes = 0, {'"', "'"}
+    while token := _token(page, at, quotes):
+        begin, end, name, attributes = token
+        if begin > at:
+            open_.all[-1].parts.append(page[at:begin])
+        at = end
+        tag = name.lstrip("/")
         if not name:
             continue
-        tag = name.lower()
-        if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
-                if tag in _INLINE and open_[i].tag not in _INLINE and open_[i].tag in _SCOPE:
-                    break
-            if tag == "p" or tag == "br":
-                open_[-1].parts.append(" ")
+        if name[0] == "/":
+            place = open_.last(tag)
+            if place > 0 and (tag not in _INLINE or not open_.scopes or place > open_.scopes[-1]):
+                open_.close(place)
+            if tag in ("p", "br"):
+                open_.all[-1].parts.append(" ")
             continue
         if tag in _ENDS_P:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == "p":
-                    del open_[i:]
-                    break
-                if open_[i].tag in _SCOPE:
-                    break
+            place = open_.last("p")
+            if place > 0 and (not open_.scopes or place > open_.scopes[-1]):
+                open_.close(place)
         elif tag in _SIBLINGS:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in _SIBLINGS[tag]:
-                    del open_[i:]
-                    break
-                if open_[i].tag in ("table", "ul", "ol", "dl", "select"):
-                    break
-        elif tag == "body" and len(open_) > 1 and open_[-1].tag == "head":
-            open_.pop()
-        if tag in _VOID or m[3].endswith("/") and tag in _RAW:
+            place = open_.last(*_SIBLINGS[tag])
+            if place > 0 and (not open_.lists or place > open_.lists[-1]):
+                open_.close(place)
+        elif tag == "body" and open_.all[-1].tag == "head":
+            open_.close(len(open_.all) - 1)
+        if tag in _VOID or attributes.endswith("/") and tag in _RAW:
             if tag not in _INLINE:
-                open_[-1].parts.append(" ")
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
-        made = _Element(tag, m[3])
-        open_[-1].parts.append(made)
-        open_.append(made)
+                open_.all[-1].parts.append(" ")
+        elif tag in _RAW:
+            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+            at = close.end() if close else len(page)
+        else:
+            open_.push(_Element(tag, attributes))
+    if at < len(page):
+        open_.all[-1].parts.append(page[at:])
+    for e in _deep(root):
+        e.headed = e.headed or any(x.__class__ is _Element and x.headed for x in e.parts)
     return root
 
 
@@ -159,7 +206,7 @@ def key(e: _Element) -> int:
 
 def _spared(e: _Element) -> bool:
     """Whether an element named as a header holds a heading."""
-    return e.named == 2 and any(x.tag in ("h1", "h2") for x in _deep(e))
+    return e.named == 2 and e.headed
 
 
 def _mains(root: _Element, named: bool) -> list[_Element]:
@@ -216,7 +263,7 @@ def main_text(root: _Element, template: frozenset | set = frozenset(), met: set
                 out.append(e)
                 continue
             if e is not main:
-                if e.furniture and (whole or not _spared(e)) or e.tag == "header" and (whole or not any(x.tag in ("h1", "h2") for x in _deep(e))):
+                if e.furniture and (whole or not _spared(e)) or e.tag == "header" and (whole or not e.headed):
                     out.append(" ")
                     continue
                 if e.tag not in _INLINE and (whole or e.tag not in _FLOW) and e.tag not in ("html", "body") and not e.main:
