@@ -25,23 +25,28 @@ ROUNDS = 8
 #: Set between a value and what a match took besides; no text has these noncharacters in a row.
 MARK = "\uFDD0\uFDD1\uFDD0"
 
+#: English names of months, fixed; of each its first three letters are a short form.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS)
+#: No pattern repeats a group without a bound: Java goes one call deeper for each.
 _PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[A-Za-z0-9\-]++\.){1,127}[A-Za-z]{2,}+",
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b[\"']?\s*[=:]\s*[\"']?[A-Za-z0-9_\-/+]{16,}+)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "iso": r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])",
-    "date": r"(?<![\d/.])\d{2}([/.])\d{2}\1\d{4}(?!\d|[/.]\d)",
+    "date": r"(?<![\d/.])(?:\d{1,2}/\d{1,2}/|\d{1,2}\.\d{1,2}\.)\d{4}(?!\d|[/.]\d)",
+    "written": rf"(?<![A-Za-z0-9])(?:(?:{_MONTH}) \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}|\d{{1,2}}(?:st|nd|rd|th)? (?:{_MONTH}),? \d{{4}})(?!\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d])",
     "phone": r"(?<![\d(+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![\d+])\+\d(?:[ .\-]?\d){7,14}(?!\d)",
 }
-#: A group for each kind would cost a scan each; back references are written by number.
-_ANY = "|".join(p.replace(r"([/.])\d{2}\1", r"(?:/\d{2}/|\.\d{2}\.)") for p in _PATTERNS.values())
+#: A group for each kind would cost a scan each.
+_ANY = "|".join(_PATTERNS.values())
 
 
 def _is(kind: str, m: Column) -> Column:
-    return m.rlike("^(?:" + _PATTERNS[kind].replace(r"([/.])\d{2}\1", r"(?:/\d{2}/|\.\d{2}\.)") + ")$")
+    return m.rlike("^(?:" + _PATTERNS[kind] + ")$")
 
 
 def _random(key: str, tweak: Column, step: Column, x: Column, below: Column) -> Column:
@@ -212,11 +217,44 @@ def _iso(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Day first where that is a date, else month first; the order is kept."""
-    mark = F.substring(m, 3, 1)
-    plain = F.translate(m, ".", "/")
-    shown = [F.date_format(_moved_day(F.try_to_date(plain, f), key), f) for f in ("dd/MM/yyyy", "MM/dd/yyyy")]
-    return F.coalesce(F.when(mark == ".", F.translate(F.coalesce(*shown), "/", ".")).otherwise(F.coalesce(*shown)), m)
+    """Day first where that is a date, else month first; the order is kept, and
+    whether days and months below ten have two digits."""
+    mark = F.when(F.contains(m, F.lit("/")), F.lit("/")).otherwise(F.lit("."))
+    part = F.split(m, "[/.]")
+    at = lambda i: F.element_at(part, i)
+    wide = F.when((F.length(at(1)) == 2) & (F.length(at(2)) == 2), 2).otherwise(1)
+    show = lambda x: F.when(x < 10, F.lpad(x.cast("string"), wide, "0")).otherwise(x.cast("string"))
+
+    def moved(day: int, month: int) -> Column:
+        found = _moved_day(_day(at(3), at(month), at(day)), key)
+        shown = {day: F.dayofmonth, month: F.month}
+        return F.when(found.isNotNull(), _with(found, lambda d: F.concat(show(shown[1](d)), mark, show(shown[2](d)), mark, F.lpad(F.year(d).cast("string"), 4, "0"))))
+
+    return F.coalesce(moved(1, 2), moved(2, 1), m)
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+
+def _written(m: Column, key: str) -> Column:
+    """A date with the name of its month, which stays long or short; so do the order
+    and the commas, and an ending of the day is put right."""
+    name = F.regexp_extract(m, "[A-Z][a-z]+", 0)
+    number = F.regexp_extract(m, r"(?<![0-9])([0-9]{1,2})(?:st|nd|rd|th)?(?![0-9])", 1)
+    year = F.regexp_extract(m, r"[0-9]{4}$", 0)
+    month = F.array_position(F.array(*[F.lit(x[:3]) for x in MONTHS]), F.substring(name, 1, 3)).cast("int")
+
+    def show(d: Column) -> Column:
+        n, long = F.dayofmonth(d), F.element_at(F.array(*map(F.lit, MONTHS)), F.month(d))
+        new = F.when((F.length(name) > 3) | (name == "May") & (F.month(d) == 5), long).otherwise(F.substring(long, 1, 3))
+        ending = F.when(n.isin(1, 21, 31), "st").when(n.isin(2, 22), "nd").when(n.isin(3, 23), "rd").otherwise("th")
+        shown = F.concat(n.cast("string"), F.when(m.rlike("[0-9](st|nd|rd|th)"), ending).otherwise(F.lit("")))
+        out = F.when(m.rlike("^[A-Z]"), F.concat(new, F.lit(" "), shown)).otherwise(F.concat(shown, F.lit(" "), new))
+        return F.concat(out, F.when(F.contains(m, F.lit(",")), ", ").otherwise(F.lit(" ")), F.lpad(F.year(d).cast("string"), 4, "0"))
+
+    moved = _moved_day(_day(year, month.cast("string"), number), key)
+    return F.coalesce(F.when(moved.isNotNull(), _with(moved, show)), m)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -231,7 +269,7 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), F.when(value == F.upper(value), F.upper(new)).otherwise(new))
 
 
-_CHANGES = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "iso": _iso, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+_CHANGES = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "iso": _iso, "date": _date, "written": _written, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
 def pseudonym(m: Column, key: str = KEY) -> Column:
@@ -245,7 +283,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
 def kind(m: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for name in _PATTERNS:
-        out = out.when(_is(name, m), F.lit("date" if name == "iso" else name))
+        out = out.when(_is(name, m), F.lit("date" if name in ("iso", "written") else name))
     return out
 
 
@@ -258,20 +296,23 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     n_values, kinds are replaced; repeated rows are kept and get equal texts.
     """
     names = [c for c in docs.columns if c not in ("n_values", "kinds")]
-    found = docs.select(*names, F.when(F.col("text").rlike(_ANY), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))).alias("_old"))
+    # The columns of docs are kept apart, so that none clashes with those made here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept"))
+    text = F.col("kept.text")
+    found = rows.withColumn("old", F.when(text.rlike(_ANY), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))))
     # A match that fails its check may have swallowed what follows a valid value;
     # a mark is put between them, and what follows is searched anew.
-    short = F.coalesce(F.exists("_old", lambda m: F.coalesce(shorter(m) > 0, F.lit(False))), F.lit(False))
-    found = found.withColumn("_cut", F.when(short, cut(F.col("text"), F.col("_old"), MARK)))
-    found = found.withColumn("_old", F.when(F.col("_cut").isNotNull(), F.regexp_extract_all("_cut", F.lit(_ANY), F.lit(0))).otherwise(F.col("_old")))
-    moved = found.withColumn("_new", F.transform("_old", lambda m: pseudonym(m, key)))
-    pieces = F.zip_with(F.split(F.coalesce("_cut", "text"), _ANY, -1), F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    short = F.coalesce(F.exists("old", lambda m: F.coalesce(shorter(m) > 0, F.lit(False))), F.lit(False))
+    found = found.withColumn("cut", F.when(short, cut(text, F.col("old"), MARK)))
+    found = found.withColumn("old", F.when(F.col("cut").isNotNull(), F.regexp_extract_all("cut", F.lit(_ANY), F.lit(0))).otherwise(F.col("old")))
+    moved = found.withColumn("new", F.transform("old", lambda m: pseudonym(m, key)))
+    pieces = F.zip_with(F.split(F.coalesce("cut", text), _ANY, -1), F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     whole = F.array_join(pieces, "")
-    text = F.when(F.col("_cut").isNotNull(), F.replace(whole, F.lit(MARK), F.lit(""))).when(F.col("_old").isNotNull(), whole).otherwise(F.col("text"))
-    changed = F.filter(F.arrays_zip("_old", "_new"), lambda x: x["_old"] != x["_new"])
-    n = F.when(F.col("_old").isNull(), F.lit(0)).otherwise(F.size(changed))
-    kinds = F.coalesce(F.array_sort(F.array_distinct(F.transform(changed, lambda x: kind(x["_old"])))), F.array().cast("array<string>"))
-    return moved.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], n.cast("long").alias("n_values"), kinds.alias("kinds"))
+    out = F.when(F.col("cut").isNotNull(), F.replace(whole, F.lit(MARK), F.lit(""))).when(F.col("old").isNotNull(), whole).otherwise(text)
+    changed = F.filter(F.arrays_zip("old", "new"), lambda x: x["old"] != x["new"])
+    n = F.when(F.col("old").isNull(), F.lit(0)).otherwise(F.size(changed))
+    kinds = F.coalesce(F.array_sort(F.array_distinct(F.transform(changed, lambda x: kind(x["old"])))), F.array().cast("array<string>"))
+    return moved.select(*[out.alias("text") if c == "text" else F.col(f"kept.`{c}`") for c in names], n.cast("long").alias("n_values"), kinds.alias("kinds"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
