@@ -1,16 +1,18 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of shuffled documents, repeated at most `repeats` times.
-A document's virtual finish time is the words its source has served with it,
-divided by the source's target; the queues are merged in the order of these
-times and cut at the total budget.  Since the targets add up to the budget, the
-cut is at virtual time one; the document of each source that is being served
-there is taken in part, so a source gets its target to the word.
-
-Running sums over a source are not made in one task: rows fall into buckets of
-the shuffled order, the few bucket totals are summed up first, and each bucket
-is then scanned by itself.  A source with a third of all rows is spread over as
-many tasks as any other.
+Every source is a queue of shuffled documents, and each document has an entry in
+it for every time that it may be repeated.  An entry's virtual finish time is the
+words its source has served with it, divided by the source's target.  All entries
+are put in the order of these times and summed up; the total budget cuts the queue.
+Targets add up to the budget, so the cut is at virtual time one; an entry that is
+being served then counts for the part served, so a source gets its target to the
+word, however long its documents are.
+
+Running sums are not made in one task: rows fall into buckets of the shuffled
+order, and entries into slots of virtual time; the few totals of buckets and slots
+are summed up first, and each is then scanned by itself.  Their number follows the
+number of rows.  A source with a third of all rows is spread over as many tasks as
+any other.
 """
 
 from __future__ import annotations
@@ -18,14 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import stage, table
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 BUDGET_PERCENT = 150
 REPEATS = 2
-#: Buckets of the shuffled order that each pass over a source is cut into.
-BUCKETS = 256
+#: Rows in a bucket of a source's shuffled order, or a slot of the queue, on
+#: average at most, and the least number of these.
+BUCKET_ROWS, BUCKETS = 200_000, 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,7 +63,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, percent: int = BUDGET_PERCENT, re
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, percent: int = BUDGET_PERCENT, repeats: int = REPEATS, buckets: int = BUCKETS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, percent: int = BUDGET_PERCENT, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
     """docs(doc_id, text, source, ...) -> doc_id, size, source_size, target, taken, turn.
 
     One row per document, in the order of its first turn (the virtual finish
@@ -70,31 +73,75 @@ def mix(docs: DataFrame, weights=WEIGHTS, percent: int = BUDGET_PERCENT, repeats
     source, sorted last; rows with equal ids and texts are kept as rows of their
     own; an empty table gives an empty result; other columns are not read.
     """
-    base = docs.select("doc_id", F.col("source"), words().alias("size"), F.xxhash64("text").alias("_text"))
-    # Rows alike in every column are told apart by nothing: they are one queue entry with a count.
-    keyed = base.groupBy("doc_id", "source", "size", "_text").agg(F.count(F.lit(1)).alias("copies"))
-    keyed = keyed.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "_text", "source"))
-    keyed = keyed.withColumn("bucket", F.pmod(F.shiftright("order", 32), F.lit(buckets)).cast("int"))
+    text = F.coalesce("text", F.lit(""))
+    place = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.md5(text)))
+    base = docs.select("doc_id", "source", words().alias("size"), place.alias("place"))
+    # Rows alike in all of these are told apart by nothing: they are one row with a count.
+    keyed = stage(base.groupBy("doc_id", "source", "size", "place").agg(F.count(F.lit(1)).alias("copies")), "sizes")
+    buckets = max(BUCKETS, -(-keyed.count() * repeats // BUCKET_ROWS))
+    keyed = keyed.withColumn("bucket", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
     keyed = keyed.withColumn("all", F.col("size") * F.col("copies"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("all").alias("bucket_size"))
     goals = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, percent, repeats)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     sources = offsets.alias("o").join(goals.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select("o.source", "bucket", "offset", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     served = keyed.withColumn("before", F.coalesce(F.sum("all").over(inside), F.lit(0)))
     joined = served.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
-    rows = joined.select("d.doc_id", "d.size", "d.copies", "s.source_size", "s.target", (F.col("offset") + F.col("before")).alias("start"))
+    rows = joined.select("d.doc_id", "d.place", "d.size", "d.copies", "s.source_size", "s.target", (F.col("offset") + F.col("before")).alias("start"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     rows = rows.withColumn("start", F.col("start") + (F.col("copy") - 1) * F.col("size"))
-    taken = F.lit(0).cast("long")
-    for turn in range(repeats):
-        left = F.floor(F.col("target")) - F.col("start") - F.lit(turn) * F.col("source_size")
-        taken = taken + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left.cast("long")))
-    finish = F.coalesce(F.try_divide(F.col("start") + F.col("size"), F.col("target")), F.lit(0.0))
-    out = rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), finish.alias("turn"))
-    return out.repartitionByRange(F.col("turn"), F.col("doc_id")).sortWithinPartitions("turn", "doc_id")
+    queue = stage(entries(rows, repeats), "queue")
+    taken = truncated(queue, buckets).union(queue.where("service = 0").select(*_ROW, F.lit(0).cast("long").alias("taken"), "finish"))
+    out = taken.groupBy(*_ROW).agg(F.sum("taken").alias("taken"), F.min("finish").alias("turn")).drop("place", "copy")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "turn").repartitionByRange(F.col("turn"), F.col("doc_id")).sortWithinPartitions("turn", "doc_id")
+
+
+_ROW = ["doc_id", "place", "copy", "size", "source_size", "target"]
+
+
+def entries(rows: DataFrame, repeats: int) -> DataFrame:
+    """An entry for each row and repeat, with its virtual finish time and its
+    service: the words that its source's share of the line serves of it by time one."""
+    every = rows.withColumn("begin", F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.col("start") + r * F.col("source_size"))))
+    left = F.floor("target").cast("long") - F.col("begin")
+    service = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
+    return every.select(*_ROW, F.coalesce(F.try_divide(F.col("begin") + F.col("size"), F.col("target")), F.lit(0.0)).alias("finish"), service.alias("service"))
+
+
+def truncated(queue: DataFrame, slots: int) -> DataFrame:
+    """Entries in the order of their finish times, cut where their words reach the
+    total budget; one row per slot is in the window that sums up slots."""
+    budget = queue.select("source_size", "target").distinct().agg(F.sum(F.floor("target")).alias("budget"))
+    served = queue.where("service > 0").withColumn("slot", F.floor(F.col("finish") / (F.col("finish") + 1) * slots).cast("int"))
+    totals = served.groupBy("slot").agg(F.sum("service").alias("total"))
+    earlier = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("slot", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
+    line = Window.partitionBy("slot").orderBy("finish", "place", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    placed = served.withColumn("ahead", F.coalesce(F.sum("service").over(line), F.lit(0))).join(offsets, "slot").join(F.broadcast(budget))
+    left = F.col("budget") - F.col("offset") - F.col("ahead")
+    return placed.select(*_ROW, F.greatest(F.lit(0).cast("long"), F.least(F.col("service"), left)).alias("taken"), "finish")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS size,
+    md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '') || '|' || md5(coalesce(text, ''))) AS place FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+weighed AS (SELECT *, 2 * source_size AS cap, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM sizes),
+filled AS (SELECT *, cap / weight AS fill, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM weighed),
+opened AS (SELECT *, sum(cap) OVER w - cap AS capped, sum(weight) OVER () - sum(weight) OVER w + weight AS open FROM filled WINDOW w AS (ORDER BY fill, n ROWS UNBOUNDED PRECEDING)),
+levels AS (SELECT *, (budget - capped) / open AS level FROM opened),
+goals AS (SELECT source, source_size, cap, weight, max(CASE WHEN level <= fill THEN level END) OVER () AS level FROM levels),
+aims AS (SELECT source, source_size, CASE WHEN cap <= weight * level THEN cap::DOUBLE ELSE coalesce(weight * level, cap::DOUBLE) END AS target FROM goals),
+starts AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) AS BIGINT) AS taken,
+  coalesce((start + size) / nullif(target, 0), 0) AS turn
+FROM starts s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
+"""
