@@ -16,15 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import held_out, in_order, table
+from ._common import held_out, in_order, small, stage, table
 
 GRAM = 3
 #: Ranks in a profile.
 PROFILE = 300
 #: Distinct texts per language that profiles are learned from, the first in a
-#: hashed order; and the languages that a model may have.
+#: hashed order.
 LEARN_DOCS = 2000
-LANGUAGES = 1000
 _RUN = 1 << 18
 _folded: list[np.ndarray] = []
 
@@ -89,22 +88,25 @@ def ranked(gram: np.ndarray, count: np.ndarray, size: int = PROFILE) -> np.ndarr
 
 
 class RankProfiles:
-    """Profiles of all languages side by side: sorted n-grams and, for each, its
-    rank in every language."""
+    """Profiles of all languages by n-gram: for each the languages that have it and
+    its ranks there, so memory follows the profiles' lengths, whatever their number."""
 
     def __init__(self, langs: list[str], profiles: list[np.ndarray], size: int = PROFILE):
         self.langs, self.size = langs, size
-        self.gram = np.unique(np.concatenate(profiles)) if profiles else np.zeros(0, np.uint64)
-        self.rank = np.full((len(self.gram), len(langs)), -1, np.int32)
-        for j, p in enumerate(profiles):
-            self.rank[np.searchsorted(self.gram, p), j] = np.arange(len(p))
+        whole = np.concatenate(profiles) if profiles else np.zeros(0, np.uint64)
+        order = np.argsort(whole, kind="stable")
+        self.lang = np.repeat(np.arange(len(profiles)), [len(p) for p in profiles])[order]
+        self.rank = np.concatenate([np.arange(len(p)) for p in profiles])[order] if profiles else np.zeros(0, np.int64)
+        self.gram, self.first = np.unique(whole[order], return_index=True)
+        self.count = np.diff(np.concatenate([self.first, [len(whole)]]))
 
     def distances(self, profile: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.gram, profile), len(self.gram) - 1)
-        known = self.gram[at] == profile
-        rank = self.rank[at[known]]
-        apart = np.abs(rank - np.arange(len(profile))[known][:, None])
-        return np.where(rank < 0, self.size, apart).sum(0) + self.size * int((~known).sum())
+        known = np.flatnonzero(self.gram[at] == profile)
+        n = self.count[at[known]]
+        post = np.repeat(self.first[at[known]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        near = self.size - np.abs(self.rank[post] - np.repeat(known, n))
+        return self.size * len(profile) - np.bincount(self.lang[post], near, len(self.langs)).astype(np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score: how much nearer it is than a profile with nothing in common."""
@@ -136,22 +138,19 @@ def _counted(total: dict[str, dict[int, int]]) -> pa.RecordBatch:
 
 
 def learn(docs: DataFrame, learn_docs: int = LEARN_DOCS, size: int = PROFILE) -> RankProfiles:
-    """Profiles from docs(text, lang).  At most learn_docs distinct texts of each of
-    LANGUAGES languages are used, each once, those that come first by a hash of the text;
+    """Profiles from docs(text, lang) of every language.  At most learn_docs distinct
+    texts of each are used, each once, those that come first by a hash of the text;
     what reaches the driver is `size` n-grams for each language."""
     used = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     place = (F.shiftrightunsigned(in_order(["text"], "profile"), 11).cast("double")) / float(1 << 53)
     used = used.withColumn("place", place)
-    texts = used.groupBy("lang", "place").count()
-    sizes = texts.groupBy("lang").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("texts"), F.min("place").alias("first"))
-    sizes = sizes.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return RankProfiles([], [], size)
+    texts = used.select("lang", "place").distinct()
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.min("place").alias("least"))
     # A threshold on the hash that some more than learn_docs texts of the language
     # pass, one at least; of them the first are taken.
     most = learn_docs + 6 * learn_docs**0.5
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(max(r["first"], most / r["texts"])))])
-    passed = used.where(F.col("place") <= share[F.col("lang")]).dropDuplicates(["lang", "text"])
+    limits = small(stage(sizes.select("lang", F.greatest("least", F.lit(most) / F.col("texts")).alias("limit")), "limits"))
+    passed = used.join(limits, "lang").where(F.col("place") <= F.col("limit")).dropDuplicates(["lang", "text"])
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
     sample = passed.withColumn("first", first).where(F.col("first") <= learn_docs).select("text", "lang")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
