@@ -26,8 +26,9 @@ from ._common import in_order, small, stage, table
 from ._graph import components
 
 COSINE = 0.95
-#: Vectors that codebooks are fitted on, the first by a hash.
-SAMPLE = 20_000
+#: Vectors that codebooks are fitted on, the first by a hash, and their bytes at
+#: most; of them, those on which visits are calibrated.
+SAMPLE, SAMPLE_BYTES, CALIBRATED = 20_000, 64 << 20, 4000
 #: Vectors that a cell holds on average, and bounds of codewords per half.
 PER_CELL, CODES = 32, (2, 1024)
 #: Part of partners at just the threshold whose cell must be visited.
@@ -152,42 +153,52 @@ def _block(cosine: float):
         i, j = np.nonzero(linked)
         if not len(i):
             return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-        found = np.zeros(len(a), np.int64)
-        np.add.at(found, i, m["weight"].to_numpy()[j])
-        owns = q["own"].to_numpy()
-        visits = [set(v) for v in m["visits"]]
-        once = np.fromiter((owns[s] not in visits[t] for s, t in zip(i, j)), bool, len(i))
-        back = np.zeros(len(b), np.int64)
-        np.add.at(back, j[once], q["weight"].to_numpy()[i[once]])
-        root: dict[int, int] = {}
-
-        def top(v: int) -> int:
-            while (up := root.get(v, v)) != v:
-                root[v] = root.get(up, up)
-                v = up
-            return v
-
-        edges = []
-        for s, t in zip(a[i].tolist(), b[j].tolist()):
-            u, v = top(s), top(t)
-            if u != v:
-                root[max(u, v)] = min(u, v)
-                edges.append((s, t))
-        out = [(s, s, n) for s, n in zip(a.tolist(), found.tolist()) if n] + [(t, t, n) for t, n in zip(b.tolist(), back.tolist()) if n] + [(s, t, 0) for s, t in edges]
-        return pd.DataFrame(out, columns=["a", "b", "n"]).astype("int64")
+        found = np.bincount(i, m["weight"].to_numpy()[j], len(a)).astype(np.int64)
+        # Members that visit the asker's cell find the asker there themselves.
+        visits = m["visits"].to_list()
+        cells, place = np.unique(np.concatenate([q["own"].to_numpy(), *visits]), return_inverse=True)
+        asked = np.repeat(np.arange(len(b)), [len(v) for v in visits]) * len(cells) + place[len(a) :]
+        once = ~np.isin(j * len(cells) + place[i], asked)
+        back = np.bincount(j[once], q["weight"].to_numpy()[i[once]], len(b)).astype(np.int64)
+        names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        s, t = forest(len(names), place[i], place[len(a) + j])
+        rows = [(a[found > 0], a[found > 0], found[found > 0]), (b[back > 0], b[back > 0], back[back > 0]), (names[s], names[t], np.zeros(len(s), np.int64))]
+        return pd.DataFrame(dict(zip("abn", (np.concatenate(x) for x in zip(*rows)))))
 
     return run
 
 
-def fit(nodes: DataFrame, count: int, cosine: float, recall: float) -> MultiIndex | None:
-    share = min(1.0, SAMPLE / max(count, 1))
-    place = F.shiftrightunsigned(in_order(["node"], "codebook"), 11).cast("double") / float(1 << 53)
-    rows = nodes.where(place < share).select("node", "v").orderBy("node").limit(2 * SAMPLE).collect()
-    rows = rows or nodes.select("node", "v").orderBy("node").limit(1).collect()
-    if not rows:
+def forest(n: int, s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links among n nodes, enough to join what all of them join."""
+    root, kept = np.arange(n), [np.zeros(0, np.int64)]
+    at = np.flatnonzero(s != t)
+    while len(at):
+        low, high = np.minimum(root[s[at]], root[t[at]]), np.maximum(root[s[at]], root[t[at]])
+        order = np.lexsort((low, high))
+        first = order[np.concatenate([[True], np.diff(high[order]) != 0])]
+        root[high[first]] = low[first]
+        kept.append(at[first])
+        while (root[root] != root).any():
+            root = root[root]
+        at = at[root[s[at]] != root[t[at]]]
+    kept = np.concatenate(kept)
+    return s[kept], t[kept]
+
+
+def _sample(nodes: DataFrame, count: int, rows: int, salt: str) -> np.ndarray:
+    """About so many vectors of length one, those first by a hash."""
+    place = F.shiftrightunsigned(in_order(["node"], salt), 11).cast("double") / float(1 << 53)
+    few = nodes.where(place < min(1.0, rows / max(count, 1))).select("v").limit(2 * rows).toArrow().column("v").combine_chunks()
+    if not len(few):
+        few = nodes.orderBy("node").limit(1).select("v").toArrow().column("v").combine_chunks()
+    return _unit(few, len(few))
+
+
+def fit(nodes: DataFrame, count: int) -> MultiIndex | None:
+    if not count:
         return None
-    sample = np.array([r["v"] for r in rows], np.float64)
-    sample /= np.linalg.norm(sample, axis=1)[:, None]
+    size = nodes.select(F.size("v")).first()[0]
+    sample = _sample(nodes, count, max(1, min(SAMPLE, SAMPLE_BYTES // (8 * size))), "codebook")
     k = int(np.clip(np.sqrt(count / PER_CELL), *CODES))
     return MultiIndex(sample, min(k, len(sample)), 7)
 
@@ -202,8 +213,11 @@ def link(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) ->
     result; other columns are not read.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    clean = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150)) & F.exists("v", lambda x: F.abs(x) > 1e-150)
-    marked = rows.withColumn("v", F.when(F.coalesce(clean, F.lit(False)), F.col("v"))).withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    clean = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    most = F.array_max(F.transform("v", F.abs))
+    # Squares of very large and very small components would not be numbers any more.
+    near = F.when((most < 1e150) & (most > 1e-150), F.col("v")).otherwise(F.transform("v", lambda x: x / most))
+    marked = rows.withColumn("v", F.when(F.coalesce(clean, F.lit(False)), near)).withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
     marked = stage(marked.withColumn("size", F.size("v")), "vectors")
     classes = stage(marked.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"), F.first("size").alias("size")), "classes")
     lengths = [r["size"] for r in classes.groupBy("size").count().orderBy("size").collect()]
@@ -229,16 +243,15 @@ def _links(classes: DataFrame, cosine: float, recall: float) -> DataFrame:
     """classes(node, weight, v) -> a, b, n: n links of a where a = b, else a link."""
     spark = classes.sparkSession
     count = classes.count()
-    index = fit(classes, count, cosine, recall)
+    index = fit(classes, count)
     shared = spark.sparkContext.broadcast(index)
     cells = classes.select("node", "v").mapInArrow(_celled(shared), "node long, cell long")
     sizes = stage(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members")), "cells")
     # At most CODES squared cells.
     index.full = {r["cell"] for r in sizes.select("cell").collect()}
-    sample = classes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(max(1, count // 4000))) == 0).select("v").limit(8000).collect()
-    if sample:
-        x = np.array([r["v"] for r in sample], np.float64)
-        index.calibrate(x / np.linalg.norm(x, axis=1)[:, None], cosine, recall)
+    if index:
+        size = index.cut + index.codes[1].shape[1]
+        index.calibrate(_sample(classes, count, max(1, min(CALIBRATED, SAMPLE_BYTES // (8 * size))), "visits"), cosine, recall)
     shared = spark.sparkContext.broadcast(index)
     asking = stage(classes.mapInArrow(_asking(shared), "node long, weight long, v array<double>, own long, visits array<long>"), "asking")
     visits = asking.select("node", F.explode("visits").alias("cell"))
@@ -252,3 +265,17 @@ def _links(classes: DataFrame, cosine: float, recall: float) -> DataFrame:
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+clean AS MATERIALIZED (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM clean a JOIN clean b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(m.b, v.vec_id)) AS component_id, least(v.vec_id, coalesce(m.b, v.vec_id)) = v.vec_id AS kept
+FROM v LEFT JOIN least m ON m.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP7_SQL, op7_decontaminate
-from .embedding_dedup import op4_embedding_dedup
+from .embedding_dedup import OP4_SQL, op4_embedding_dedup
 from .language import op8_language_id
 from .licenses import op5_licenses
-from .mixing import op6_mix_sources
+from .mixing import OP6_SQL, op6_mix_sources
 from .ngram_join import OP2_SQL, op2_ngram_join
 from .pages import op10_extract_text
 from .passages import op9_shared_passages
@@ -36,5 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_join": OP2_SQL,
+        "op4_embedding_dedup": OP4_SQL,
+        "op6_mix_sources": OP6_SQL,
         "op7_decontaminate": OP7_SQL,
     }
