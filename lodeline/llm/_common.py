@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, spark.checkpoint.dir; where it is
-    unset (tests on one machine) a folder of our own is made and set."""
+    """The folder that all executors share, spark.checkpoint.dir.  Where it is unset a
+    folder of our own is made and set in local mode, as in tests; on a cluster no
+    folder of one machine would do, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodeline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -16,8 +16,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     node move to its smallest neighbour, then all smaller ones.  Each step is a
     grouped minimum and a join; the number of steps follows the logarithm of the
     number of nodes.  Edges live in staged tables, never in the driver.
+
+    Edges of the input: null ends and loops join nothing; repeated edges count
+    once; no edges give an empty result; other columns are not read.
     """
-    now = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    now = stage(edges.select("a", "b").where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

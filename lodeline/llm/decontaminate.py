@@ -130,11 +130,16 @@ def report(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFrame
 
 
 def clean(docs: DataFrame, items: DataFrame, length: int = WINDOW) -> DataFrame:
-    """The documents in which no window of an item occurs; all their columns."""
+    """The documents in which no window of an item occurs; all their columns.
+
+    Edges: documents with null or empty texts stay; so do all where there are no
+    items or none with words; rows with equal ids and texts stay or go together;
+    columns may have any names; an empty table gives an empty result.
+    """
     found, _ = matches(docs, items.where("item_id is not null"), length)
-    hits = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_of")).distinct()
+    hits = found.select("doc_id", "text_key").distinct()
     hits = small(stage(hits, "hits"))
-    return docs.join(hits, docs["doc_id"].eqNullSafe(F.col("_id")) & (_text_key(docs["text"]) == F.col("_of")), "left_anti")
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]) & (_text_key(docs["text"]) == hits["text_key"]), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

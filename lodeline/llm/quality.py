@@ -161,7 +161,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Trees from the documents that have a label quality 0 or 1 and aren't held
-    out.  At most about `rows` of them are used, those first by a hash of their id."""
+    out.  At most about `rows` of them are used, those first by a hash of their id.
+
+    Edges: labels other than 0 and 1, null labels and null ids are not used; of an
+    id's labels the greater counts; every document of a labelled id is used; empty
+    tables give a model without trees; other columns, of any names, are not read.
+    """
     marked = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     place = F.shiftrightunsigned(in_order(["doc_id"], "quality"), 11).cast("double") / float(1 << 53)
     known = marked.count()

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -99,6 +100,27 @@ def test_ngram_join(docs, corpus, n, p, q):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, len(sets[i]), top(i)) for i in sets}
 
 
+def test_ngram_join_of_a_large_group(spark):
+    """Keys that many sets of a batch share; copies of copies link others that are unlike."""
+    rng = random.Random(51)
+    base = prose(rng, 120)
+    texts = [edited(rng, base, rng.randint(1, 4)) for _ in range(90)] + [prose(rng, 120) for _ in range(5)]
+    chain = base
+    for _ in range(12):
+        chain = edited(rng, chain, 2)
+        texts.append(chain)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(df, 4, 85, 100).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 6
+
+
 def test_one_row_of_near_copies(spark):
     import corpus_pipeline
 
@@ -114,6 +136,34 @@ def test_one_row_of_near_copies(spark):
     assert {base, *alone} <= {r["text"] for r in got}
 
 
+def test_pipeline_stages_on_edges(spark, tmp_path, corpus):
+    """Nulls, empty texts, ties, repeated rows, columns that clash, and empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(61)
+    rows = [(i, t, s, len(t or ""), "x", 0.5, 7) for i, t, _, s, *_ in corpus] + [(None, None, None, 0, None, None, None), (None, "", None, 0, None, None, None)]
+    rows += [(900, "mail a@b.example.com now " + prose(rng, 60), "a", 1, "x", 0.5, 7)]
+    schema = "doc_id long, text string, source string, n_chars long, node string, score double, predicted int"
+    docs = spark.createDataFrame(rows, schema)
+    inner = corpus[5][1].split()
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(inner[5:30])), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for given in (docs, docs.limit(0)):
+        whole = 0 if given is not docs else len(rows)
+        kept = {}
+        for name, function in corpus_pipeline.STAGES:
+            out = function(spark, given, str(tmp_path))
+            kept[name] = [tuple(r) for r in out.collect()]
+            assert len(kept[name]) <= whole and (name == "mixing" or out.columns == docs.columns)
+        if whole:
+            copies = {r[1] for r in kept["near_copies"]}
+            assert len(kept["near_copies"]) == len(set(kept["near_copies"])) and None in copies and "" in copies
+            assert corpus[5][1] not in {r[1] for r in kept["decontamination"]} and len(kept["pii"]) == whole
+            said = next(r for r in kept["pii"] if r[0] == 900)
+            assert "example" not in said[1] and said[3] == len(said[1]) and said[4:] == ("x", 0.5, 7)
+            assert all(r[4] > 0 for r in kept["mixing"])
+
+
 def test_signatures_meet_at_the_threshold():
     rng = np.random.default_rng(3)
     for p, q in ((85, 100), (80, 100), (60, 100)):
@@ -157,6 +207,111 @@ def test_pseudonyms_beside_other_groups(spark):
     assert re.fullmatch(r"token=[0-9a-f]{180} end", got[4]) and got[5] == texts[5]
 
 
+def plain_pseudonym(kind, m, key=pii.KEY):
+    """The pseudonym of a valid value, worked out again without Spark."""
+    import calendar
+    from datetime import date, timedelta
+
+    def rand(tweak, step, x, below):
+        return int(hashlib.sha256(f"{key}|{tweak}|{step}|{x}".encode()).hexdigest()[:15], 16) % below
+
+    def feistel(a, b, size_a, size_b, tweak):
+        for r in range(pii.ROUNDS):
+            a, b = ((a + rand(tweak, r, b, size_a)) % size_a, b) if r % 2 == 0 else (a, (b + rand(tweak, r, a, size_b)) % size_b)
+        return a, b
+
+    def permute(d, tweak):
+        h = len(d) // 2
+        a, b = feistel(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), f"{tweak}|{len(d)}")
+        return f"{a:0{h}d}{b:0{len(d) - h}d}"
+
+    def fill(shape, d):
+        it = iter(d)
+        return "".join(next(it) if c.isdigit() else c for c in shape)
+
+    def day(d):
+        c = d.year // 100
+        size, wide = (75, 487) if c % 4 == 0 else (92, 397)
+        a, b = feistel(*divmod((d - date(c * 100, 1, 1)).days, wide), size, wide, f"date{c}")
+        return date(c * 100, 1, 1) + timedelta(a * wide + b)
+
+    d = re.sub(r"\D", "", m)
+    if kind == "card":
+        body = d[0] + permute(d[1:-1], "card" + d[0])
+        return fill(m, next(body + str(k) for k in range(10) if sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate((body + str(k))[::-1])) % 10 == 0))
+    if kind == "phone":
+        lead = max(len(d) - 10, 0)
+        return fill(m, d[:lead] + permute(d[lead:], "phone" + d[:lead]))
+    if kind == "ssn":
+        areas = [x for x in range(1, 900) if x != 666]
+        a, b = feistel(areas.index(int(m[:3])) * 99 + int(m[4:6]) - 1, int(m[7:]) - 1, 898 * 99, 9999, "ssn")
+        return f"{areas[a // 99]:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    if kind == "ip":
+        o = list(map(int, m.split(".")))
+        a, b = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+        return ".".join(map(str, (*divmod(a, 256), *divmod(b, 256))))
+    if kind == "iban":
+        v = m.replace(" ", "")
+        body = fill(v[4:], permute(re.sub(r"\D", "", v[4:]), "iban" + v[:2]))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + v[:2] + "00")) % 97
+        return fill(m, f"{check:02d}" + re.sub(r"\D", "", body))
+    if kind == "iso":
+        return day(date.fromisoformat(m)).isoformat()
+    if kind == "date":
+        mark = "/" if "/" in m else "."
+        x, y, z = m.split(mark)
+        wide = 2 if len(x) == len(y) == 2 else 1
+        n = day(date(int(z), int(y), int(x)) if int(y) <= 12 else date(int(z), int(x), int(y)))
+        a, b = (n.day, n.month) if int(y) <= 12 else (n.month, n.day)
+        return f"{a:0{wide}d}{mark}{b:0{wide}d}{mark}{n.year}"
+    if kind == "written":
+        name, number, year = re.search("[A-Z][a-z]+", m)[0], int(re.search(r"\b\d{1,2}(?!\d)", m)[0]), int(m[-4:])
+        n = day(date(year, [x[:3] for x in pii.MONTHS].index(name[:3]) + 1, number))
+        new = calendar.month_name[n.month] if len(name) > 3 or n.month == 5 else calendar.month_abbr[n.month]
+        end = ({1: "st", 2: "nd", 3: "rd"}.get(n.day % 10, "th") if n.day not in (11, 12, 13) else "th") if re.search(r"\d(st|nd|rd|th)", m) else ""
+        comma = "," if "," in m else ""
+        return f"{new} {n.day}{end}{comma} {n.year}" if m[0].isalpha() else f"{n.day}{end} {new}{comma} {n.year}"
+
+
+def test_pseudonyms_against_plain_python(spark):
+    rng = random.Random(31)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    values = []
+    for _ in range(12):
+        c = rng.choice("3456") + digits(rng.choice((11, 13, 14, 17)))
+        c += next(str(k) for k in range(10) if sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate((c + str(k))[::-1])) % 10 == 0)
+        values += [("card", c), ("card", " ".join(c[i : i + 4] for i in range(0, len(c), 4)))]
+        v = digits(18)
+        v = f"DE{98 - int(v + str(int('D', 36)) + str(int('E', 36)) + '00') % 97:02d}{v}"
+        values += [("iban", v), ("iban", " ".join(v[i : i + 4] for i in range(0, 22, 4)))]
+        y, mo, d = rng.randint(1600, 2199), rng.randint(1, 12), rng.randint(1, 28)
+        name = rng.choice(pii.MONTHS)
+        values += [("iso", f"{y}-{mo:02d}-{d:02d}"), ("date", f"{d:02d}/{mo:02d}/{y}"), ("date", f"{d}.{mo}.{y}"), ("date", f"{mo}/{rng.randint(13, 28)}/{y}"), ("written", f"{name} {d}, {y}"), ("written", f"{d} {name[:3]} {y}"), ("written", f"{name} {rng.choice(('1st', '2nd', '3rd', '4th', '11th'))} {y}")]
+        values += [("ssn", f"{rng.choice((1, 665, 667, 899)):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"), ("ip", ".".join(str(rng.randint(0, 255)) for _ in range(4))), ("phone", f"({digits(3)}) {digits(3)}-{digits(4)}"), ("phone", f"+{rng.randint(1, 9)}{digits(11)}")]
+    rows = [(i, f"before {m}; after", kind, m) for i, (kind, m) in enumerate(values)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, old string, cut string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df).collect()}
+    for i, text, kind, m in rows:
+        assert got[i]["text"] == f"before {plain_pseudonym(kind, m)}; after" and (got[i]["old"], got[i]["cut"]) == (kind, m), (kind, m)
+        assert got[i]["kinds"] == ["date" if kind in ("iso", "written") else kind]
+    # Equal dates of any form have equal pseudonyms.
+    three = spark.createDataFrame([(0, "1987-02-05 05/02/1987 5/2/1987 5.2.1987 February 5, 1987 5 Feb 1987 Feb 5th 1987")], "doc_id long, text string")
+    said = pii.pseudonymise(three).first()["text"]
+    y, mo, d = said.split()[0].split("-")
+    assert said.split()[1:4] == [f"{d}/{mo}/{y}", f"{int(d)}/{int(mo)}/{y}", f"{int(d)}.{int(mo)}.{y}"] and said.count(y) == 7
+
+
+def test_pseudonyms_in_hostile_texts(spark):
+    """Long runs that patterns could go into or back over without end."""
+    n = 1 << 20
+    texts = ["x@" + "a." * (n // 2), "a" * n, "1" * n, "1 " * (n // 2), "1-" * (n // 2), "AB12 " + "ABCD " * (n // 5), "+1" * (n // 2), "a@b." * (n // 4), "token=" + "a" * n, "1.1." * (n // 4), "x@" + "a-" * (n // 2), "May 1" * (n // 5), "4111 1111 1111 1111 " * (n // 80)]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", F.length("text").alias("n"), "n_values").collect()
+    assert len(got) == len(texts)
+    values = {r["doc_id"]: r["n_values"] for r in got}
+    assert values[12] == n // 80 and values[8] == 1 and values[1] == values[2] == 0
+    assert {r["doc_id"]: r["n"] for r in got}[8] == len(texts[8])
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(12 * 7).select(F.floor(F.col("id") / 7).alias("a"), (F.col("id") % 7).alias("b"))
     moved = n.select(pii.feistel(F.col("a"), F.col("b"), F.lit(12), F.lit(7), F.lit("t"), "k").alias("s")).select("s.a", "s.b").collect()
@@ -216,6 +371,61 @@ def test_embeddings(spark, size):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(100, 106))
 
 
+def test_embeddings_of_any_magnitude(spark):
+    x = [1.0, 2.0, -3.0]
+    rows = [(1, [1e200 * c for c in x]), (2, [1e-200 * c for c in x]), (3, x), (3, x), (4, [float("inf"), 1.0, 1.0]), (None, x), (5, [-c for c in x])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("node", F.lit("n")).withColumn("cell", F.lit(1))
+    got = sorted(((r["vec_id"] or 0), r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.link(df).collect())
+    assert got == [(0, 4, 1, False), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (3, 4, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
+    assert embedding_dedup.link(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("halves", [False, True])
+def test_recall_of_the_index(spark, halves):
+    """20,000 vectors, 1,500 of them with a partner at cosine 0.951, that may differ in one half only."""
+    rng = np.random.default_rng(41)
+    n, size = 18_500, 64
+    x = rng.normal(size=(n, size))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(1500, size))
+    if halves:
+        side[:, size // 2 :] = 0
+    side -= (side * x[:1500]).sum(1)[:, None] * x[:1500] if not halves else 0
+    if halves:  # turned within the first half, so far that the whole has the cosine
+        h = x[:1500, : size // 2]
+        own = (h * h).sum(1)
+        side = side[:, : size // 2] - ((side[:, : size // 2] * h).sum(1) / own)[:, None] * h
+        side *= (np.sqrt(own) / np.linalg.norm(side, axis=1))[:, None]
+        c = np.clip(1 - (1 - 0.951) / own, -1, 1)
+        y = np.concatenate([h * c[:, None] + side * np.sqrt(1 - c * c)[:, None], x[:1500, size // 2 :]], 1)
+    else:
+        y = 0.951 * x[:1500] + np.sqrt(1 - 0.951**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    v = np.concatenate([x, y])
+    import pyarrow as pa
+
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(v)), "embedding": list(v)}))
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link(df).collect()}
+    links = np.concatenate([(v[i : i + 2000] @ v.T >= 0.95).sum(1) - 1 for i in range(0, len(v), 2000)])
+    assert links.sum() >= 2900 and all(got[i] <= links[i] for i in range(len(v)))
+    assert sum(got.values()) >= 0.98 * links.sum()
+
+
+def test_forest_joins_what_links_join():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 0), (10, 6), (200, 150), (200, 3000)):
+        s, t = rng.integers(0, n, m), rng.integers(0, n, m)
+        a, b = embedding_dedup.forest(n, s, t)
+        roots = []
+        for x, y in ((s, t), (a, b)):
+            root = np.arange(n)
+            for _ in range(n):
+                low = np.minimum(root[x], root[y])
+                np.minimum.at(root, x, low)
+                np.minimum.at(root, y, low)
+            roots.append(root)
+        assert (roots[0] == roots[1]).all() and len(a) == n - len(set(roots[0].tolist()))
+
+
 def test_traversal_is_in_order():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 6))
@@ -321,7 +531,7 @@ def test_language_learns_from_distinct_texts(spark):
     d = spark.createDataFrame(rows, "text string, lang string")
     once = language.learn(d.distinct(), learn_docs=20)
     model = language.learn(d, learn_docs=20)
-    assert model.langs == once.langs == ["de", "en"] and (model.gram == once.gram).all() and (model.rank == once.rank).all()
+    assert model.langs == once.langs == ["de", "en"] and (model.gram == once.gram).all() and (model.rank == once.rank).all() and (model.lang == once.lang).all()
     assert language.learn(d, learn_docs=1).langs == ["de", "en"]
 
 
@@ -480,6 +690,23 @@ def test_pages_named_around_articles():
     assert pages.main_text(pages.parse("<div class='cookie-notice'>x</div><div class='site-footer'>y</div><p>Text</p>")) == "Text"
 
 
+def test_markup_never_gets_into_the_text():
+    text = lambda page: pages.main_text(pages.parse(page))
+    assert text('<article><p>one</p><a href="x>link</a><p>two</p></article>') == "one link two"
+    assert text("<p title='x>y'>a < b and <3 c</p><p title=it's>d</p></3 e> f<a") == "a < b and <3 c d f"
+    assert text("<script>var s = '<a href=\"';</script><p>one \"two\"</p><style>p{}</style>three") == 'one "two" three'
+    assert text("<ul><li>a<li>b</ul><p>c<p>d<table><tr><td>e<td>f</table>") == "a b c d e f"
+
+
+def test_pages_of_a_megabyte_take_little_time():
+    """Each of these took time with the square of its length, or would."""
+    for page in ("<a " * 330_000 + '">', "<b>" * 150_000 + "</i>" * 150_000, "<i><div>" + "<b>" * 150_000 + "</i>" * 150_000, "<div class=header>" * 50_000, '<a b="' * 150_000, "<div><p>" * 100_000, "<ul>" + "<li>x<b>" * 100_000, "<" * 1_000_000):
+        began = time.time()
+        pages.key(pages.parse(page))
+        pages.main_text(pages.parse(page))
+        assert time.time() - began < 40
+
+
 def test_licenses_against_brute_force(spark):
     """All columns' names clash with internal ones; long texts, nulls, ties and repeats."""
     from collections import Counter
