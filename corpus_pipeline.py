@@ -6,28 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.llm import decontaminate, mixing, ngram_join, pii, quality
-from lodeline.llm._common import stage, table
+from lodeline.llm._common import small, stage, table
 
 #: No SQL expresses boosted trees, so none gives the rows of run().
 ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    Edges: null and empty texts are scored as texts with all statistics zero;
+    without labels every score is 0.5, which keeps all; repeated rows stay or go
+    together; columns may have any names; an empty table stays empty.
+    """
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model).where("predicted = 1").select(docs.columns)
+    scored = quality.classify(docs.select("text", F.struct(*docs.columns).alias("row")), model)
+    return scored.where("predicted = 1").select("row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) one row, of the least id."""
+    """Of each group of near copies (five words, 0.8) one row, of the least id.
+
+    Edges: null and blank texts are near copies of nothing but rows equal to them
+    in id and text; a null id comes after all others; ties go to the least hash;
+    columns may have any names; an empty table stays empty.
+    """
     # Ids may recur or be null, so rows go by a hash of id and text; rows equal in both are one.
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
     groups = ngram_join.join(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, p=80, q=100)
     groups = stage(groups.groupBy(F.col("doc_id").alias("_key")).agg(F.first("component_id").alias("group"), F.count(F.lit(1)).alias("n")), "groups")
-    shared = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("of")).where("of > 1"), "group").select("_key", "group")
-    named = shared.join(keyed.select("_key", "doc_id").distinct(), "_key")
+    several = small(stage(groups.groupBy("group").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("group"), "several"))
+    shared = groups.join(several, "group").select("_key", "group")
+    named = stage(shared.join(keyed.select("_key", "doc_id").distinct(), "_key"), "shared")
     first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("first"))
-    extra = stage(named.join(first, "group").where("_key <> first").select("_key"), "extra")
+    extra = stage(named.join(small(stage(first, "first")), "group").where("_key <> first").select("_key"), "extra")
     held = keyed.join(extra, "_key", "left_anti")
     # Where no kept row recurs, texts needn't be shuffled.
     again = groups.where("n > 1").join(extra, "_key", "left_anti")
@@ -35,17 +47,33 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs.
+
+    Edges: as decontaminate.clean: null and empty texts stay, so do all where there
+    are no items; equal rows stay or go together.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by pseudonyms."""
-    return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """All documents, with personal data replaced by pseudonyms, and n_chars, where
+    the table has it, put right.
+
+    Edges: as pii.pseudonymise: null texts stay null, texts without such data stay
+    as they are, byte for byte; repeated rows get equal texts.
+    """
+    out = pii.pseudonymise(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes; documents it takes none of go."""
+    """How many words of each document the mix takes; documents it takes none of go.
+
+    Edges: as mixing.mix: null and empty texts have no words, so go; null sources
+    are one source; repeated rows are rows of their own; an empty table stays empty.
+    """
     return mixing.mix(docs).where("taken > 0")
 
 
