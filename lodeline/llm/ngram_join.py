@@ -152,9 +152,10 @@ def _key_rows(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
     frequent in the batch, which therefore is shared, the rows beyond the first few
     have a salt of their node's."""
     order = np.argsort(key, kind="stable")
-    key, node = key[order], node[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    rank = np.arange(len(key)) - np.repeat(first, np.diff(np.concatenate([first, [len(key)]])))
+    line = key[order]
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.arange(len(key)) - np.repeat(first, np.diff(np.concatenate([first, [len(key)]])))
     salt = np.where(rank < FREQUENT, 0, 1 + node % 4093).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(salt)], ["key", "node", "salt"])
 
