@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once in the shared folder that spark.checkpoint.dir names, so that
+    what reads it twice works it out once.  Where that is unset, local mode, as in
+    tests, takes a folder of its own; on a cluster it is an error."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lodeline-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 @dataclass(frozen=True)
 class EvidenceGraph:
     """entities(id, entity_type, ...), relationships(id, source_id, relationship,

@@ -23,6 +23,34 @@ def visible(graph: EvidenceGraph, policy: DataFrame, user: str) -> EvidenceGraph
     return EvidenceGraph(entities, edges.select(graph.relationships.columns), graph.evidence)
 
 
+class WriteDenied(PermissionError):
+    """A change by someone who may only read."""
+
+
+def may_write(role: str) -> None:
+    """Raises for roles that only read; every change operator's caller asks it first."""
+    if role.upper() in ("READ_ONLY", "READONLY", "ANALYST"):
+        raise WriteDenied(role)
+
+
+AUDIT = "id string, timestamp string, actor string, action string, resource_type string, resource_id string, case_id string, status string, details map<string,string>"
+
+
+def audit_append(audit: DataFrame, events: DataFrame) -> DataFrame:
+    """audit with events(timestamp, actor, action, resource_type, resource_id, case_id,
+    status, details) added; an event's id is a hash of what it says, so a second
+    append of it adds nothing."""
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("timestamp", "actor", "action", "resource_type", "resource_id", "case_id", "status")]
+    id_ = F.concat(F.lit("AUDIT_"), F.upper(F.substring(F.sha2(F.concat_ws("|", *said), 256), 1, 8)))
+    new = events.withColumn("id", id_).select(audit.columns).dropDuplicates(["id"])
+    return audit.unionByName(new.join(audit.select("id"), "id", "left_anti").select(audit.columns))
+
+
+def audit_filter(audit: DataFrame, status: str) -> DataFrame:
+    """One row: how many rows have the status, and of how many."""
+    return audit.agg(F.count_if(F.col("status") == status).alias("shown"), F.count(F.lit(1)).alias("total"))
+
+
 def audit_list(audit: DataFrame, case_id: str | None = None, action: str | None = None, status: str | None = None, limit: int = 50) -> DataFrame:
     """Newest first; a case's list also has what concerns ALL; 1 to 200 rows."""
     if not 1 <= limit <= 200:

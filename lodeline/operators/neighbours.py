@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import label
-from ..graph import EvidenceGraph
+from ..graph import EvidenceGraph, checkpointed
 
 
 def neighbors(graph: EvidenceGraph, entity_id: str, direction: str = "undirected") -> DataFrame:
@@ -19,7 +19,7 @@ def neighbors(graph: EvidenceGraph, entity_id: str, direction: str = "undirected
 def case_edges(graph: EvidenceGraph, case_id: str) -> DataFrame:
     """Edges that touch the case or one of its neighbours, but for those that
     lead from a neighbour to another case.  Anchored at the case: two joins."""
-    raw = graph.edges(known=False)
+    raw = checkpointed(graph.edges(known=False))
     columns = raw.columns
     kind = graph.entities.select(F.col("id").alias("dst"), "entity_type")
     first = raw.where(F.col("src") == case_id).join(kind, "dst").select(columns)
@@ -36,7 +36,7 @@ def case_nodes(graph: EvidenceGraph, case_id: str) -> DataFrame:
 
 def case_membership(graph: EvidenceGraph) -> DataFrame:
     """case_id, id: the nodes of every case's subgraph, for all cases at once."""
-    und = graph.edges()
+    und = checkpointed(graph.edges().select("src", "dst").distinct())
     kind = graph.entities.select("id", "entity_type")
     case = kind.where("entity_type = 'CASE'").select(F.col("id").alias("case_id"))
     first = und.join(case, und["src"] == F.col("case_id")).select("case_id", F.col("dst").alias("id")).distinct()

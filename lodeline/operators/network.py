@@ -7,20 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import label, score_tier
-from ..graph import EvidenceGraph
+from ..graph import EvidenceGraph, checkpointed
 from .neighbours import adjacent_cases, degree
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared checkpoint folder that the session names."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodeline-"))
-    return df.checkpoint()
-
-
 def density(nodes: int, edges: int) -> float:
     return 0.0 if nodes < 2 else 2.0 * edges / (nodes * (nodes - 1))
 
@@ -35,14 +25,14 @@ def graph_density(graph: EvidenceGraph) -> DataFrame:
 def components(graph: EvidenceGraph) -> DataFrame:
     """id, component: the least id that an entity is connected to.  Labels move to
     the least neighbour's and then to that label's own, until none changes."""
-    und = _checkpoint(graph.edges().select("src", "dst").distinct())
-    now = _checkpoint(graph.entities.select("id", F.col("id").alias("component")))
+    und = checkpointed(graph.edges().select("src", "dst").distinct())
+    now = checkpointed(graph.entities.select("id", F.col("id").alias("component")))
     while True:
         near = und.join(now, und["dst"] == now["id"]).groupBy("src").agg(F.min("component").alias("m"))
         step = now.join(near, now["id"] == near["src"], "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
         own = step.select(F.col("id").alias("label"), F.col("component").alias("up"))
         jump = step.join(own, step["component"] == own["label"], "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component"))
-        new = _checkpoint(jump)
+        new = checkpointed(jump)
         if new.join(now, ["id", "component"], "left_anti").isEmpty():
             return new
         now = new

@@ -1,9 +1,10 @@
 """Simple paths between entities, and what is read off them.
 
 A path has distinct nodes and one edge per step; parallel edges give paths of
-their own.  Paths of length L meet in the middle: half is grown from the source,
-half from the target, and the halves are joined on the node where they meet.
-That squares the reach of a given frontier, and each frontier is anchored.
+their own.  If both ends are few, paths of length L meet in the middle: half is
+grown from the source, half from the target, and the halves are joined on the node
+where they meet.  If one end is many, all of a path is grown from the other one.
+So each frontier is anchored.  The edge view and each step's walks are worked out once.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import EvidenceGraph
+from ..graph import EvidenceGraph, checkpointed
 
 MAX_DEPTH = 10
+#: Ends that both are grown from if they are no more.
+FEW = 100
 
 
 class UnknownEntity(KeyError):
@@ -26,7 +29,7 @@ def _grow(start: DataFrame, edges: DataFrame, steps: int) -> list[DataFrame]:
     walks = [start.select(F.col("id").alias("cur"), F.array("id").alias("nodes"), none.alias("rels"), F.lit(1.0).alias("conf"), none.alias("evid"))]
     for _ in range(steps):
         w = walks[-1].join(edges, F.col("cur") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
-        walks.append(w.select(F.col("dst").alias("cur"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("rels", F.array("rel_id")).alias("rels"), F.least("conf", F.coalesce("confidence", F.lit(1.0))).alias("conf"), F.array_union("evid", F.coalesce("evidence_ids", none)).alias("evid")))
+        walks.append(checkpointed(w.select(F.col("dst").alias("cur"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("rels", F.array("rel_id")).alias("rels"), F.least("conf", F.coalesce("confidence", F.lit(1.0))).alias("conf"), F.array_union("evid", F.coalesce("evidence_ids", none)).alias("evid"))))
     return walks
 
 
@@ -38,8 +41,11 @@ def simple_paths(graph: EvidenceGraph, sources: DataFrame, targets: DataFrame, m
     """
     if not 1 <= max_depth <= MAX_DEPTH:
         raise ValueError(f"max_depth must be 1 to {MAX_DEPTH}")
-    ahead = graph.edges("outgoing" if directed else "undirected").where("src <> dst")
-    behind = graph.edges("incoming").where("src <> dst") if directed else ahead
+    many = [ends.select("id").limit(FEW + 1).count() > FEW for ends in (sources, targets)]
+    if many[0] != many[1]:
+        return _from_few(graph, sources, targets, max_depth, directed, many[0])
+    ahead = checkpointed(graph.edges("outgoing" if directed else "undirected").where("src <> dst"))
+    behind = checkpointed(graph.edges("incoming").where("src <> dst")) if directed else ahead
     fore = _grow(sources.select("id"), ahead, (max_depth + 1) // 2)
     back = _grow(targets.select("id"), behind, max_depth // 2)
     out = None
@@ -57,6 +63,20 @@ def simple_paths(graph: EvidenceGraph, sources: DataFrame, targets: DataFrame, m
     return out.where("source_id <> target_id")
 
 
+def _from_few(graph: EvidenceGraph, sources: DataFrame, targets: DataFrame, max_depth: int, directed: bool, back: bool) -> DataFrame:
+    """Whole paths grown from the sources, with back from the targets."""
+    few, others = (targets, sources) if back else (sources, targets)
+    edges = checkpointed(graph.edges(("incoming" if back else "outgoing") if directed else "undirected").where("src <> dst"))
+    walks = _grow(few.select("id"), edges, max_depth)
+    whole = walks[1]
+    for w in walks[2:]:
+        whole = whole.union(w)
+    whole = whole.join(others.select(F.col("id").alias("cur")).distinct(), "cur", "left_semi")
+    turned = lambda c: F.reverse(c) if back else F.col(c)
+    out = whole.select(turned("nodes").alias("nodes"), turned("rels").alias("rels"), F.size("rels").alias("hop_count"), F.round("conf", 2).alias("confidence"), F.array_sort("evid").alias("evidence_ids"))
+    return out.select(F.element_at("nodes", 1).alias("source_id"), F.element_at("nodes", -1).alias("target_id"), *out.columns)
+
+
 def between(graph: EvidenceGraph, source: str, target: str, max_depth: int = 6, directed: bool = False) -> DataFrame:
     ends = graph.entities.where(F.col("id").isin(source, target)).select("id")
     known = {r["id"] for r in ends.limit(3).collect()}
@@ -72,16 +92,16 @@ def ranked(paths: DataFrame) -> DataFrame:
 
 
 def steps(paths: DataFrame, graph: EvidenceGraph) -> DataFrame:
-    """One row per step: from, to, relationship, confidence."""
+    """One row per step: from, to, relationship, confidence, evidence_ids."""
     s = paths.select(F.array_join("nodes", "->").alias("path"), "nodes", F.posexplode("rels").alias("step", "rel_id"))
-    r = graph.relationships.select(F.col("id").alias("rel_id"), "relationship", "confidence")
-    return s.join(r, "rel_id").select("path", "step", "rel_id", F.element_at("nodes", F.col("step") + 1).alias("from_id"), F.element_at("nodes", F.col("step") + 2).alias("to_id"), "relationship", "confidence")
+    r = graph.relationships.select(F.col("id").alias("rel_id"), "relationship", "confidence", "evidence_ids")
+    return s.join(r, "rel_id").select("path", "step", "rel_id", F.element_at("nodes", F.col("step") + 1).alias("from_id"), F.element_at("nodes", F.col("step") + 2).alias("to_id"), "relationship", "confidence", F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence_ids"))
 
 
 def interior(paths: DataFrame, graph: EvidenceGraph) -> DataFrame:
     """Adds intermediate (inner nodes but cases and events) and shared_entities
     (the resources among them, else all of them)."""
-    keyed = paths.withColumn("path_key", F.array_join("rels", "->"))
+    keyed = checkpointed(paths).withColumn("path_key", F.array_join("rels", "->"))
     inner = F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 2, F.lit(0)))
     kinds = graph.entities.select("id", "entity_type")
     found = keyed.select("path_key", F.posexplode(inner).alias("place", "id")).join(kinds, "id").where("entity_type not in ('CASE', 'EVENT')")
@@ -111,8 +131,9 @@ def best(paths: DataFrame, by: str = "hops") -> DataFrame:
 
 
 def compared(paths: DataFrame) -> DataFrame:
-    """Best path of each pair with its rank over pairs and whether it is direct."""
+    """Best path of each pair with its rank among those of its source, whether it is
+    direct, and the entities in between."""
     from pyspark.sql import Window
 
-    order = Window.orderBy("hop_count", F.desc("confidence"), "path")
-    return best(paths).withColumn("rank", F.row_number().over(order)).withColumn("is_direct", F.col("hop_count") == 1)
+    order = Window.partitionBy("source_id").orderBy("hop_count", F.desc("confidence"), "path")
+    return best(paths).withColumn("rank", F.row_number().over(order)).withColumn("is_direct", F.col("hop_count") == 1).withColumn("between", F.array_join(F.slice(F.split("path", "->"), F.lit(2), F.col("hop_count").cast("int") - 1), "->"))

@@ -36,6 +36,14 @@ def all_events(graph: EvidenceGraph, event_type: str | None = None, keyword: str
     return e.orderBy(F.col("timestamp").asc_nulls_last(), "id")
 
 
+def normalized(events: DataFrame) -> DataFrame:
+    """Events of client feeds: type or event_type, a title and a place for those without."""
+    have = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+    kind = F.coalesce(have("event_type"), have("type"), F.lit("EVENT"))
+    title = F.coalesce(have("title"), have("description"), kind)
+    return events.select("id", kind.alias("event_type"), title.alias("title"), have("timestamp").alias("timestamp"), F.coalesce(have("location_id"), have("location"), F.lit("Unknown location")).alias("location"))
+
+
 def involved(graph: EvidenceGraph) -> DataFrame:
     """event_id, ts, event_type, entity_id: who an event involves."""
     e = graph.entities.where("entity_type = 'EVENT'").select("id", "event_type", F.try_to_timestamp("timestamp").alias("ts"))

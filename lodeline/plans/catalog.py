@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import extract as X
 from ..functions import scalar as S
 from ..graph import EvidenceGraph
-from ..operators import access, ingest, lookup, mutate, neighbours, network, paths, patterns, report, resolve, stats, text, timeline, validate
+from ..operators import access, findings, ingest, lookup, mutate, neighbours, network, paths, patterns, report, resolve, stats, text, timeline, validate
 from ..sources import records, testdata
+from . import planner
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,13 +136,15 @@ for _name, _sql in (
 ):
     _add(f"neighbors_{_name}", _sql)(lambda g, spark, sf, d=_name: neighbours.neighbors(g, PERSON, d))
 
-_SUB = f""", c AS (SELECT {CASE_SQL} AS c), n1 AS (SELECT DISTINCT dst AS id FROM und, c WHERE src = c.c AND dst <> c.c),
-ce AS (SELECT DISTINCT rel_id FROM (SELECT rel_id FROM und, c WHERE src = c.c UNION ALL SELECT u.rel_id FROM n1 JOIN und u ON u.src = n1.id JOIN ent e ON e.id = u.dst, c WHERE e.entity_type <> 'CASE' OR e.id = c.c)),
-cn AS (SELECT source_id AS id FROM rel JOIN ce ON ce.rel_id = rel.id UNION SELECT target_id FROM rel JOIN ce ON ce.rel_id = rel.id UNION SELECT c FROM c)
+_SUB = f""", c AS MATERIALIZED (SELECT {CASE_SQL} AS c), n1 AS MATERIALIZED (SELECT DISTINCT dst AS id FROM und JOIN c ON src = c.c WHERE dst <> c.c),
+ce AS MATERIALIZED (SELECT rel_id FROM und JOIN c ON src = c.c UNION SELECT u.rel_id FROM n1 JOIN und u ON u.src = n1.id JOIN ent e ON e.id = u.dst WHERE e.entity_type <> 'CASE'
+  UNION SELECT u.rel_id FROM n1 JOIN und u ON u.src = n1.id JOIN c ON u.dst = c.c),
+cr AS MATERIALIZED (SELECT r.id AS rel_id, r.source_id, r.target_id, r.relationship, r.confidence FROM rel r JOIN ce ON ce.rel_id = r.id),
+cn AS MATERIALIZED (SELECT source_id AS id FROM cr UNION SELECT target_id FROM cr UNION SELECT c FROM c)
 """
 
 
-@_add("case_subgraph_edges", _SUB + "SELECT r.id AS rel_id, r.relationship, r.confidence FROM rel r JOIN ce ON ce.rel_id = r.id")
+@_add("case_subgraph_edges", _SUB + "SELECT rel_id, relationship, confidence FROM cr")
 def _(g, spark, sf):
     return neighbours.case_edges(g, _case(spark, sf)).select("rel_id", "relationship", "confidence")
 
@@ -224,9 +227,9 @@ def _(g, spark, sf):
     return p.select(F.array_join("nodes", "->").alias("path"), "hop_count", "confidence", F.array_join(F.array_sort("shared_entities"), ",").alias("shared_entities"))
 
 
-@_add("path_steps", _PATHS + ", s AS (SELECT path, rels, nodes, unnest(range(0, len(rels))) AS step FROM p) SELECT path, CAST(step AS BIGINT) AS step, rels[step + 1] AS rel_id, nodes[step + 1] AS from_id, nodes[step + 2] AS to_id, relationship, confidence FROM s JOIN rel ON rel.id = rels[step + 1]")
+@_add("path_steps", _PATHS + ", s AS (SELECT path, rels, nodes, unnest(range(0, len(rels))) AS step FROM p) SELECT path, CAST(step AS BIGINT) AS step, rels[step + 1] AS rel_id, nodes[step + 1] AS from_id, nodes[step + 2] AS to_id, relationship, confidence, evid AS evidence FROM s JOIN rel ON rel.id = rels[step + 1]")
 def _(g, spark, sf):
-    return paths.steps(_routes(g), g).withColumn("step", F.col("step").cast("long"))
+    return paths.steps(_routes(g), g).withColumn("step", F.col("step").cast("long")).withColumn("evidence", F.array_join("evidence_ids", ",")).drop("evidence_ids")
 
 
 @_add("path_summary", _PATHS + f", c AS (SELECT target_id, count(DISTINCT n) AS k FROM (SELECT target_id, {_INNER} AS n FROM p) GROUP BY 1) SELECT p.source_id, p.target_id, count(*) AS paths, min(hop_count) AS min_hops, max(confidence) AS max_confidence, coalesce(any_value(k), 0) AS conduits FROM p LEFT JOIN c ON c.target_id = p.target_id GROUP BY 1, 2")
@@ -247,7 +250,7 @@ def _(g, spark, sf):
     return paths.best(_routes(g), "confidence")
 
 
-@_add("path_comparison", _BEST.format(order="hop_count, confidence DESC, path", cols="source_id, target_id, hop_count, confidence, path, row_number() OVER (ORDER BY hop_count, confidence DESC, path) AS rank, hop_count = 1 AS is_direct"))
+@_add("path_comparison", _BEST.format(order="hop_count, confidence DESC, path", cols="source_id, target_id, hop_count, confidence, path, row_number() OVER (ORDER BY hop_count, confidence DESC, path) AS rank, hop_count = 1 AS is_direct, array_to_string(nodes[2:len(nodes) - 1], '->') AS between"))
 def _(g, spark, sf):
     return paths.compared(_routes(g)).withColumn("rank", F.col("rank").cast("long"))
 
@@ -361,6 +364,35 @@ def _(spark, sf):
     return resolve.compare(_people(spark, sf), "PERSON_5", "PERSON_7")
 
 
+@_add("candidate_filters", _PEOPLE + "SELECT a, b, score FROM (SELECT a, b, least(CAST(0.98 AS DOUBLE), round(CAST(0.4 AS DOUBLE) * token + CAST(0.4 AS DOUBLE) * alias + CAST(0.35 AS DOUBLE) * phone + CAST(0.35 AS DOUBLE) * vehicle, 2)) AS score FROM j) WHERE score >= 0.7 AND score < 0.9", graph=False)
+def _(spark, sf):
+    return findings.candidate_filter(resolve.candidates_additive(_people(spark, sf)), tier="medium", status="PENDING_REVIEW").select("a", "b", "score")
+
+
+_RELATED = _PEOPLE + """, found AS (SELECT 'CONTRADICTION' AS kind, 'PERSON_' || c_custkey AS first_id, 'PERSON_' || c_custkey AS second_id, CAST(1.0 AS DOUBLE) AS confidence, c_name || ' / ' || c_name || ' Jr' AS detail FROM customer WHERE c_custkey % 6 = 0
+  UNION ALL SELECT 'SAME_RESOLVED_ENTITY', a, b, score, 'PENDING_REVIEW' FROM (SELECT a, b, least(CAST(0.98 AS DOUBLE), round(CAST(0.4 AS DOUBLE) * token + CAST(0.4 AS DOUBLE) * alias + CAST(0.35 AS DOUBLE) * phone + CAST(0.35 AS DOUBLE) * vehicle, 2)) AS score FROM j) WHERE score >= 0.7
+  UNION ALL SELECT 'CROSS_CASE_CORRELATION', 'CASE_' || a.o_orderkey, 'CASE_' || b.o_orderkey, CAST(0.5 AS DOUBLE), 'PERSON_' || a.o_custkey FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey)
+"""
+
+
+def _related(spark: SparkSession, sf: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey")
+    case = lambda c: F.concat(F.lit("CASE_"), F.col(c).cast("string"))
+    other = o.withColumnRenamed("o_orderkey", "other")
+    met = o.join(other, "o_custkey").where("o_orderkey < other").select(case("o_orderkey").alias("source_id"), case("other").alias("target_id"), F.lit(0.5).alias("confidence"), F.concat(F.lit("PERSON_"), F.col("o_custkey").cast("string")).alias("path"))
+    return findings.correlations(ingest.ingest(spark, _sources(spark, sf)).conflicts, resolve.candidates_additive(_people(spark, sf)), met)
+
+
+@_add("correlations", _RELATED + "SELECT * FROM found", graph=False)
+def _(spark, sf):
+    return _related(spark, sf)
+
+
+@_add("correlation_filters", _RELATED + "SELECT kind, count(*) AS n, max(confidence) AS max_confidence FROM found WHERE confidence >= 0.6 GROUP BY 1", graph=False)
+def _(spark, sf):
+    return findings.correlation_summary(findings.correlation_filter(_related(spark, sf), "all", 0.6))
+
+
 # ---- timelines
 
 
@@ -457,6 +489,22 @@ def _(g, spark, sf):
     return network.community_members(star, first)
 
 
+@_add("community_filters", _STAR + " SELECT component, members, CASE WHEN members >= 10 THEN 'UNLINKED_CLUSTER' ELSE 'UNLINKED_GROUP' END AS classification FROM k WHERE members >= 2 AND CAST(2.0 AS DOUBLE) * (members - 1) / (members * (members - 1)) >= 0.02")
+def _(g, spark, sf):
+    return findings.community_filter(network.communities(g.only("LOCATED_AT")), min_density=0.02, cross_case=False).select("component", "members", "classification")
+
+
+_HOP = """, e2 AS MATERIALIZED (SELECT src, dst FROM und WHERE relationship IN ('INVOLVED_IN', 'INVOLVES')),
+p AS (SELECT id AS person, id FROM ent WHERE entity_type = 'PERSON' UNION ALL SELECT dst, src FROM e2 WHERE dst LIKE 'PERSON_%'), k AS (SELECT person, min(id) AS component FROM p GROUP BY 1)
+"""
+
+
+@_add("connected_components_multi_hop", _HOP + " SELECT e.id, coalesce(k.component, e.id) AS component FROM ent e LEFT JOIN p ON p.id = e.id LEFT JOIN k ON k.person = p.person")
+def _(g, spark, sf):
+    """Cases and events of a person are two hops apart, and linked to no one else's."""
+    return network.components(g.only("INVOLVED_IN", "INVOLVES"))
+
+
 @_add("graph_density", " SELECT (SELECT count(*) FROM ent) AS n, (SELECT count(*) FROM rel) AS m, round(CAST(2.0 AS DOUBLE) * (SELECT count(*) FROM rel) / ((SELECT count(*) FROM ent) * ((SELECT count(*) FROM ent) - 1)), 8) AS density")
 def _(g, spark, sf):
     return network.graph_density(g)
@@ -467,6 +515,18 @@ def _(g, spark, sf):
     return network.review_priority(g)
 
 
+@_add("priority_filter", _DEG + " SELECT id FROM (SELECT e.id, round(least(coalesce(degree, 0) / CAST(50.0 AS DOUBLE), 1.0) * 40 + least(coalesce(n_cases, 0) / CAST(10.0 AS DOUBLE), 1.0) * 40 + 20, 2) AS priority FROM ent e LEFT JOIN deg ON deg.id = e.id LEFT JOIN nc ON nc.id = e.id WHERE entity_type = 'PERSON') WHERE priority >= 75")
+def _(g, spark, sf):
+    return findings.priority_filter(network.review_priority(g), "high").select("id")
+
+
+@_add("top_findings", _DEG + " SELECT part, title FROM (SELECT 0 AS part, id AS title, 0 AS rank FROM ent WHERE entity_type = 'CASE' AND status = 'ACTIVE' AND priority = '1-URGENT' AND id LIKE 'CASE_1_' UNION ALL SELECT 1, e.id, -degree FROM ent e JOIN deg ON deg.id = e.id WHERE entity_type = 'PERSON') ORDER BY part, rank, title LIMIT 10")
+def _(g, spark, sf):
+    urgent = lookup.cases(g, "active").where("priority = '1-URGENT' and id like 'CASE_1_'").select(F.col("id").alias("title"), F.lit(0).cast("long").alias("rank"))
+    linked = neighbours.degree(g).join(lookup.by_type(g, "PERSON").select("id"), "id").select(F.col("id").alias("title"), (-F.col("degree")).alias("rank"))
+    return findings.first_of(10, urgent, linked).select("part", "title")
+
+
 @_add("shared_entities", _DEG + " SELECT id, n_cases FROM nc WHERE n_cases >= 2")
 def _(g, spark, sf):
     return network.shared_entities(g)
@@ -492,7 +552,7 @@ def _(g, spark, sf):
     return report.sections(g, _case(spark, sf))
 
 
-@_add("report_links", _SUB + " SELECT r.id AS rel_id, r.relationship, r.confidence, CASE WHEN r.confidence >= 0.9 THEN 'High' WHEN r.confidence >= 0.7 THEN 'Medium' ELSE 'Low' END AS tier FROM rel r JOIN ce ON ce.rel_id = r.id")
+@_add("report_links", _SUB + " SELECT rel_id, relationship, confidence, CASE WHEN confidence >= 0.9 THEN 'High' WHEN confidence >= 0.7 THEN 'Medium' ELSE 'Low' END AS tier FROM cr")
 def _(g, spark, sf):
     return report.links(g, _case(spark, sf))
 
@@ -544,6 +604,54 @@ def _(spark, sf):
     return access.audit_list(audit, "CASE_5", limit=200)
 
 
+_AUDIT_SQL = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'user' || user_id AS actor, event_type AS action, CASE WHEN event_id % 5 = 0 THEN 'DENIED' ELSE 'SUCCESS' END AS status FROM events"
+
+
+def _events_said(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("actor"), F.col("event_type").alias("action"), F.lit("EVENT").alias("resource_type"), F.col("event_id").cast("string").alias("resource_id"), F.lit("ALL").alias("case_id"), F.when(F.col("event_id") % 5 == 0, "DENIED").otherwise("SUCCESS").alias("status"), F.lit(None).cast("map<string,string>").alias("details"))
+
+
+@_add("audit_append", f"SELECT timestamp, actor, action, status, 'AUDIT_' || upper(substr(sha256(timestamp || '|' || actor || '|' || action || '|EVENT|' || event_id || '|ALL|' || status), 1, 8)) AS id FROM ({_AUDIT_SQL})", graph=False)
+def _(spark, sf):
+    """Events are appended twice; the second time adds nothing."""
+    audit, events = spark.createDataFrame([], access.AUDIT), _events_said(spark, sf)
+    return access.audit_append(access.audit_append(audit, events), events).select("id", "timestamp", "actor", "action", "status")
+
+
+@_add("audit_status_filter", f"SELECT count(*) FILTER (status = 'DENIED') AS shown, count(*) AS total FROM ({_AUDIT_SQL})", graph=False)
+def _(spark, sf):
+    return access.audit_filter(_events_said(spark, sf), "DENIED")
+
+
+@_add("normalized_events", "SELECT CAST(event_id AS VARCHAR) AS id, event_type, event_type AS title, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'Unknown location' AS location FROM events", graph=False)
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return timeline.normalized(e.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("type"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp")))
+
+
+# ---- questions
+
+_ASKED = [("ann", "Who is guilty in case 1?"), ("ann", "Summarize case 1"), ("ann", "Summarize case 3"), ("ann", "What is near person 999999999?"), ("bob", "How are case 1 and case 2 connected?"), ("bob", "Which entities are shared?"), ("bob", "Tell me a joke")]
+
+
+@_add("question_intents", "SELECT * FROM (VALUES ('ann', 'SAFETY_REFUSAL'), ('ann', 'CASE_SUMMARY'), ('ann', 'AUTHORIZATION_DENIAL'), ('ann', 'NOT_FOUND'), ('bob', 'CROSS_CASE_CONNECTION'), ('bob', 'SHARED_ENTITIES'), ('bob', 'UNSUPPORTED')) t(username, intent)", graph=False)
+def _(spark, sf):
+    g = testdata.load(spark, sf)
+    policy = spark.createDataFrame([("ann", "CASE_1"), ("ann", "CASE_2"), ("bob", "ALL")], "username string, case_id string")
+    cases = {"ann": ("CASE_1", "CASE_2"), "bob": ("ALL",)}
+    seen = {u: access.visible(g, policy, u) for u in cases}
+    said = [(u, planner.checked(seen[u], planner.plan(q, allowed=cases[u])).intent) for u, q in _ASKED]
+    return spark.createDataFrame(said, "username string, intent string")
+
+
+@_add("question_shared_entities", ", c AS (SELECT u.src AS id, count(DISTINCT u.dst) AS n_cases FROM und u WHERE u.dst IN ('CASE_1', 'CASE_2', 'CASE_3') GROUP BY 1) SELECT id, n_cases FROM c WHERE n_cases >= 2")
+def _(g, spark, sf):
+    """Over what the asker may see alone."""
+    policy = spark.createDataFrame([("ann", c) for c in ("CASE_1", "CASE_2", "CASE_3")], "username string, case_id string")
+    return planner.answer(g, "Which entities are shared?", policy, "ann")[1]
+
+
 # ---- ingest and changes
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import EvidenceGraph
-from ..operators import network, neighbours, paths, timeline
+from ..operators import access, network, neighbours, paths, resolve, timeline
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,7 @@ _RULES = [
     ("VEHICLE_INTELLIGENCE", r"\b(vehicles?|cars?|trucks?)\b"),
     ("ACCOUNT_INTELLIGENCE", r"\b(accounts?|bank|transactions?|upi)\b"),
     ("COMMUNICATIONS_INTELLIGENCE", r"\b(phones?|numbers?|msisdn|calls?)\b"),
+    ("INVESTIGATIVE_LEADS", r"\b(leads?|next steps?)\b"),
     ("EVIDENCE_LOOKUP", r"\b(evidence|proof|documents?)\b"),
 ]
 
@@ -52,15 +53,48 @@ def plan(question: str, case_id: str | None = None, entity_id: str | None = None
         return Plan("AUTHORIZATION_DENIAL", cases, entities)
     if intent == "CROSS_CASE_CONNECTION" and len(cases) < 2:
         intent = "ENTITY_CONNECTIONS" if entities else None
+    if entities and re.search(r"\b(which|what) cases?\b", q):
+        intent = "ENTITY_CASES"
     if intent is None:
         intent = "ENTITY_CONNECTIONS" if entities else "CASE_SUMMARY" if cases else "UNSUPPORTED"
     return Plan(intent, cases, entities, intent in ("EVIDENCE_LOOKUP", "ENTITY_CONNECTIONS", "CROSS_CASE_CONNECTION"), 0.0 if intent == "UNSUPPORTED" else 1.0)
 
 
+def checked(graph: EvidenceGraph, p: Plan) -> Plan:
+    """The plan, or NOT_FOUND if the graph lacks a case or an entity that it names."""
+    named = set(p.case_ids) | set(p.entity_ids)
+    if not named or p.intent in ("SAFETY_REFUSAL", "AUTHORIZATION_DENIAL"):
+        return p
+    known = {r["id"] for r in graph.entities.where(F.col("id").isin(*named)).select("id").distinct().collect()}
+    missing = tuple(sorted(named - known))
+    return Plan("NOT_FOUND", tuple(c for c in missing if c in p.case_ids), tuple(e for e in missing if e in p.entity_ids), confidence=0.0) if missing else p
+
+
+def answer(graph: EvidenceGraph, question: str, policy: DataFrame, user: str, case_id: str | None = None, entity_id: str | None = None) -> tuple[Plan, DataFrame]:
+    """Plans and runs a question over what the user may see, and no more: hidden cases
+    are taken out before any operator runs.  An operator that fails gives
+    PROVIDER_FAILURE and no rows; the plan's confidence is then 0."""
+    own = [r["case_id"] for r in policy.where(F.col("username") == user).select("case_id").distinct().collect()]
+    seen = access.visible(graph, policy, user)
+    p = plan(question, case_id, entity_id, tuple(own))
+    try:
+        p = checked(seen, p)
+        return p, run(seen, p)
+    except Exception:  # whatever fails, the asker gets an answer of its kind and no detail
+        return Plan("PROVIDER_FAILURE", p.case_ids, p.entity_ids, confidence=0.0), graph.entities.where(F.lit(False))
+
+
 def run(graph: EvidenceGraph, p: Plan, max_depth: int = 4) -> DataFrame:
     """The plan's answer; what finds nothing is an empty result, never a made-up one."""
     case = p.case_ids[0] if p.case_ids else ""
-    nodes = lambda kind: neighbours.case_nodes(graph, case).where(F.col("entity_type") == kind)
+    def nodes(kind: str) -> DataFrame:
+        """Of an entity what is next to it, else within two hops; of a case its nodes."""
+        if p.entity_ids:
+            near = neighbours.ego(graph, p.entity_ids[0], 2).join(graph.entities.where(F.col("entity_type") == kind), "id")
+            least = near.agg(F.min("hop").alias("least"))
+            return near.join(F.broadcast(least), near["hop"] == least["least"]).drop("hop", "least")
+        return neighbours.case_nodes(graph, case).where(F.col("entity_type") == kind)
+
     match p.intent:
         case "CASE_SUMMARY":
             return neighbours.case_nodes(graph, case).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
@@ -80,6 +114,12 @@ def run(graph: EvidenceGraph, p: Plan, max_depth: int = 4) -> DataFrame:
             return neighbours.neighbors(graph, p.entity_ids[0])
         case "EVIDENCE_LOOKUP":
             return neighbours.entity_evidence(graph, p.entity_ids[0]) if p.entity_ids else graph.evidence.join(neighbours.case_evidence_ids(graph, case), "evidence_id", "left_semi")
+        case "ENTITY_CASES":
+            return neighbours.adjacent_cases(graph).where(F.col("id") == p.entity_ids[0])
+        case "INVESTIGATIVE_LEADS":
+            return network.review_priority(graph).where("level <> 'LOW'")
+        case "IDENTITY_RESOLUTION":
+            return resolve.candidates_additive(graph.entities.where("entity_type = 'PERSON'"))
         case "SHARED_ENTITIES":
             return network.shared_entities(graph)
         case "COMMUNITY_DETECTION":

@@ -122,3 +122,33 @@ def test_search_is_literal(g):
     assert lookup.list_entities(g, search="phone_04").count() == 1
     assert lookup.list_entities(g, search="%").count() == 0
     assert neighbours.ego(g, "CASE_305", 5).count() == 2
+
+
+def test_paths_grown_from_one_side(g, monkeypatch):
+    """Where one end is many, whole paths are grown from the other; both ways give the same."""
+    ids = g.entities.select("id")
+    cases, some = ids.where("id like 'CASE_%'"), ids.where("id = 'CASE_101'")
+    for sources, targets, directed in ((some, cases, False), (cases, some, False), (ids.where("id = 'PERSON_017'"), ids.where("id like 'L%' or id like 'P%'"), True), (ids.where("id like 'P%'"), ids.where("id = 'LOC_001'"), True)):
+        shown = lambda p: sorted((r["source_id"], r["target_id"], r["nodes"], r["rels"], r["hop_count"], r["confidence"], r["evidence_ids"]) for r in p.where("source_id <> target_id").collect())
+        met = shown(paths.simple_paths(g, sources, targets, 4, directed))
+        monkeypatch.setattr(paths, "FEW", 1)
+        one_side = shown(paths.simple_paths(g, sources, targets, 4, directed))
+        monkeypatch.setattr(paths, "FEW", 100)
+        assert met == one_side and met
+
+
+def test_questions_are_answered_over_what_is_visible(g, spark):
+    from lodeline.plans import planner
+
+    policy = spark.createDataFrame([("ann", "CASE_101"), ("bob", "ALL")], "username string, case_id string")
+    intent = lambda who, question: planner.answer(g, question, policy, who)[0].intent
+    assert intent("ann", "Summarize case 204") == "AUTHORIZATION_DENIAL" and intent("bob", "Summarize case 204") == "CASE_SUMMARY"
+    assert intent("bob", "What is near person 999?") == "NOT_FOUND" and intent("bob", "Who is guilty?") == "SAFETY_REFUSAL"
+    assert planner.answer(g, "Which entities are shared?", policy, "ann")[1].count() == 0
+    assert {r["id"] for r in planner.answer(g, "Which phones has person 17?", policy, "bob")[1].collect()} >= {"PHONE_042", "PHONE_017"}
+
+
+def test_only_those_who_may_change():
+    access.may_write("INVESTIGATOR")
+    with pytest.raises(access.WriteDenied):
+        access.may_write("read_only")
