@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import OP12_SQL, op12_centroids
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .embedding_dedup import OP4_SQL, op4_embedding_dedup
+from .fill_middle import OP11_SQL, op11_fill_middle
 from .language import op8_language_id
 from .licenses import op5_licenses
 from .mixing import OP6_SQL, op6_mix_sources
@@ -30,6 +32,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_shared_passages": op9_shared_passages,
         "op10_extract_text": op10_extract_text,
+        "op11_fill_middle": op11_fill_middle,
+        "op12_centroids": op12_centroids,
     }
 
 
@@ -39,4 +43,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_embedding_dedup": OP4_SQL,
         "op6_mix_sources": OP6_SQL,
         "op7_decontaminate": OP7_SQL,
+        "op11_fill_middle": OP11_SQL,
+        "op12_centroids": OP12_SQL,
     }
