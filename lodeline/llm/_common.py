@@ -32,15 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes a table in the shared folder and reads it back, which cuts the
     lineage; the files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

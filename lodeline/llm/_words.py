@@ -75,6 +75,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, bounds)
 
 
+def substring_hashes(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the substrings of raw bytes that begin at sorted places and are whole."""
+    out = np.empty(len(at), np.uint64)
+    for start in range(0, len(raw), CHUNK_BYTES):
+        a, b = np.searchsorted(at, (start, start + CHUNK_BYTES))
+        if a < b:
+            piece, place = raw[start : start + CHUNK_BYTES + length], at[a:b] - start
+            total = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_BYTE[piece] * _power("up", _BASE, len(piece)), out=total[1:])
+            out[a:b] = mix((total[place + length] - total[place]) * _power("down", _BASE_INVERSE, len(piece))[place])
+    return out
+
+
 _PLACE = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
 

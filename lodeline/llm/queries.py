@@ -18,6 +18,7 @@ from .pages import op10_extract_text
 from .passages import op9_shared_passages
 from .pii import op1_pii
 from .quality import op3_quality
+from .suffixes import OP13_SQL, op13_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_extract_text": op10_extract_text,
         "op11_fill_middle": op11_fill_middle,
         "op12_centroids": op12_centroids,
+        "op13_suffix_dedup": op13_suffix_dedup,
     }
 
 
@@ -45,4 +47,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontaminate": OP7_SQL,
         "op11_fill_middle": OP11_SQL,
         "op12_centroids": OP12_SQL,
+        "op13_suffix_dedup": OP13_SQL,
     }
