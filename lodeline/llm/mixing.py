@@ -3,10 +3,11 @@
 Every source is a queue of shuffled documents, and each document has an entry in
 it for every time that it may be repeated.  An entry's virtual finish time is the
 words its source has served with it, divided by the source's target.  All entries
-are put in the order of these times and summed up; the total budget cuts the queue.
-Targets add up to the budget, so the cut is at virtual time one; an entry that is
-being served then counts for the part served, so a source gets its target to the
-word, however long its documents are.
+are put in the order of these times and summed up, and the mix ends where the sum
+reaches the total budget.  Targets add up to the budget, so that is at virtual time
+one.  The one entry of a source that is begun before and finished after that is
+split into entries of one word each, so a source comes within a word of its target,
+however long its documents are.
 
 Running sums are not made in one task: rows fall into buckets of the shuffled
 order, and entries into slots of virtual time; the few totals of buckets and slots
@@ -82,7 +83,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, percent: int = BUDGET_PERCENT, repeats
     keyed = keyed.withColumn("bucket", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
     keyed = keyed.withColumn("all", F.col("size") * F.col("copies"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("all").alias("bucket_size"))
-    goals = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, percent, repeats)
+    goals = stage(targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, percent, repeats), "targets")
+    budget = goals.agg(F.sum(F.floor("target"))).first()[0] or 0
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     sources = offsets.alias("o").join(goals.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select("o.source", "bucket", "offset", "source_size", "target")
@@ -92,8 +94,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, percent: int = BUDGET_PERCENT, repeats
     rows = joined.select("d.doc_id", "d.place", "d.size", "d.copies", "s.source_size", "s.target", (F.col("offset") + F.col("before")).alias("start"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     rows = rows.withColumn("start", F.col("start") + (F.col("copy") - 1) * F.col("size"))
-    queue = stage(entries(rows, repeats), "queue")
-    taken = truncated(queue, buckets).union(queue.where("service = 0").select(*_ROW, F.lit(0).cast("long").alias("taken"), "finish"))
+    taken = truncated(stage(entries(rows, repeats), "queue"), budget, buckets)
     out = taken.groupBy(*_ROW).agg(F.sum("taken").alias("taken"), F.min("finish").alias("turn")).drop("place", "copy")
     return out.select("doc_id", "size", "source_size", "target", "taken", "turn").repartitionByRange(F.col("turn"), F.col("doc_id")).sortWithinPartitions("turn", "doc_id")
 
@@ -102,26 +103,27 @@ _ROW = ["doc_id", "place", "copy", "size", "source_size", "target"]
 
 
 def entries(rows: DataFrame, repeats: int) -> DataFrame:
-    """An entry for each row and repeat, with its virtual finish time and its
-    service: the words that its source's share of the line serves of it by time one."""
-    every = rows.withColumn("begin", F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.col("start") + r * F.col("source_size"))))
-    left = F.floor("target").cast("long") - F.col("begin")
-    service = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
-    return every.select(*_ROW, F.coalesce(F.try_divide(F.col("begin") + F.col("size"), F.col("target")), F.lit(0.0)).alias("finish"), service.alias("service"))
-
-
-def truncated(queue: DataFrame, slots: int) -> DataFrame:
+    """The queue: an entry for each row and repeat with its words and virtual finish
+    time; the one that time one falls into is an entry for each of its words."""
+    begins = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.col("start") + r * F.col("source_size"))
+    whole = lambda b: F.array(F.struct(b.alias("begin"), F.col("size").alias("words")))
+    single = lambda b: F.transform(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), lambda k: F.struct((b + k).alias("begin"), F.lit(1).cast("long").alias("words")))
+    split = lambda b: (b < F.col("target")) & (b + F.col("size") > F.col("target")) & (F.col("size") > 1)
+    every = rows.withColumn("e", F.explode(F.flatten(F.transform(begins, lambda b: F.when(split(b), single(b)).otherwise(whole(b))))))
+    finish = F.coalesce(F.try_divide(F.col("e.begin") + F.col("e.words"), F.col("target")), F.lit(0.0))
+    return every.select(*_ROW, F.col("e.begin").alias("begin"), F.col("e.words").alias("words"), finish.alias("finish"))
+
+
+def truncated(queue: DataFrame, budget: int, slots: int) -> DataFrame:
     """Entries in the order of their finish times, cut where their words reach the
     total budget; one row per slot is in the window that sums up slots."""
-    budget = queue.select("source_size", "target").distinct().agg(F.sum(F.floor("target")).alias("budget"))
-    served = queue.where("service > 0").withColumn("slot", F.floor(F.col("finish") / (F.col("finish") + 1) * slots).cast("int"))
-    totals = served.groupBy("slot").agg(F.sum("service").alias("total"))
+    placed = queue.withColumn("slot", F.floor(F.col("finish") / (F.col("finish") + 1) * slots).cast("int"))
+    totals = placed.groupBy("slot").agg(F.sum("words").alias("total"))
     earlier = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("slot", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
-    line = Window.partitionBy("slot").orderBy("finish", "place", "copy").rowsBetween(Window.unboundedPreceding, -1)
-    placed = served.withColumn("ahead", F.coalesce(F.sum("service").over(line), F.lit(0))).join(offsets, "slot").join(F.broadcast(budget))
-    left = F.col("budget") - F.col("offset") - F.col("ahead")
-    return placed.select(*_ROW, F.greatest(F.lit(0).cast("long"), F.least(F.col("service"), left)).alias("taken"), "finish")
+    line = Window.partitionBy("slot").orderBy("finish", "place", "copy", "begin").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(budget) - F.col("offset") - F.coalesce(F.sum("words").over(line), F.lit(0))
+    return placed.join(offsets, "slot").select(*_ROW, F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), left)).alias("taken"), "finish")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +144,6 @@ aims AS (SELECT source, source_size, CASE WHEN cap <= weight * level THEN cap::D
 starts AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d)
 SELECT doc_id, size, source_size, target,
   CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) AS BIGINT) AS taken,
-  coalesce((start + size) / nullif(target, 0), 0) AS turn
+  coalesce((start + CASE WHEN size > 1 AND start < target AND start + size > target THEN 1 ELSE size END) / nullif(target, 0), 0) AS turn
 FROM starts s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
 """
