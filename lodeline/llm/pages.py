@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -26,54 +27,79 @@ SHARE = 0.2
 #: Hosts whose templates are broadcast; those of more hosts are joined by shuffle.
 BROADCAST_HOSTS = 50_000
 
+#: Words of a class or id: runs of letters, cut where small letters turn to capitals.
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/<>]*+")
 #: What ends a tag, or begins a quoted value of it.
 _STOP = re.compile(r"[<>]|=\s*+([\"'])")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "xmp"}
+_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-_FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "audio", "video", "canvas"} | _RAW
+_MATH = {"math", "mrow", "mi", "mo", "mn", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "mpadded", "semantics"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"} | _MATH
+_FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "audio", "video", "canvas", "annotation", "annotation-xml"} | _RAW
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist"}
 #: Words in a class or id that mark page furniture.
-_NAMES = set(
+_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation topnav breadcrumb breadcrumbs "
     "footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations trending popular comment comments commentlist discussion disqus respond reply replies responses widget pagination "
     "pager search paywall skip hidden".split()
 )
-#: Of them, those that an article's heading may have; words that say where furniture is.
+#: Of them, those that an article's heading may have, those that a layout around
+#: the article may have, and those that may mark an editor's own words.
 _HEADERS = {"header", "masthead", "banner"}
+_LAYOUT = {"side", "sidebar", "widget", "hidden", "overlay"}
+_REMARKS = {"comment", "comments", "notice", "notices", "reply", "discussion", "responses", "related"}
+#: Words that say where furniture is or what it is made of; a class or id of these
+#: and words of furniture names furniture (comments-area, adSlot), one with any other
+#: word something else (side-by-side, social-science, notice-period).
 _PLACES = {"site", "left", "right", "bottom", "box", "links", "list", "global"}
+_MADE_OF = _PLACES | set(
+    "area section block wrap wrapper wrappers container containers unit units slot slots bar panel inner outer button buttons icon icons link form item items thread threads "
+    "count js user users reader readers top main primary secondary mobile desktop sticky fixed body content post posts entry entries article articles page story stories".split()
+)
+#: Of them, those that can be the article's own.
+_OWN = set("main body content post posts entry entries article articles page story stories wrap wrapper inner outer container".split())
 #: Those that mark an article as not the page's own.
-_BESIDE = {"ad", "ads", "advert", "comment", "comments", "reply", "related", "recommended", "promo", "sponsored", "teaser"}
+_BESIDE = frozenset({"ad", "ads", "advert", "advertisement", "comment", "comments", "reply", "replies", "respond", "related", "recommended", "promo", "sponsored", "teaser", "teasers"})
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "figcaption"}
+_PHRASES = (_INLINE | _HEADINGS | {"p", "blockquote", "figcaption"}) - {"a"}
 _ENDS_P = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "div", "table", "section", "article", "aside", "nav", "header", "footer", "form", "blockquote", "pre", "main", "figure", "hr", "address", "fieldset", "details"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _LISTS = {"table", "ul", "ol", "dl", "select"}
 _SCOPE = {"html", "body", "table", "ul", "ol", "dl", "select", "td", "th", "div", "section", "article", "main", "nav", "aside", "header", "footer", "form"}
 
 
-def _marks(names: str, marks: set[str]) -> set[str]:
-    """The words of marks in those classes and ids that have no word but these and places."""
-    found: set[str] = set()
-    for token in names.split():
-        words = set(re.split(r"[^a-z]+", token)) - {""}
-        if words & marks and words <= marks | _PLACES:
-            found |= words & marks
-    return found
+@lru_cache(1 << 16)
+def _marked(token: str, marks: frozenset[str]) -> frozenset[str]:
+    words = {w.lower() for w in _WORDS.findall(token) if len(w) > 1}
+    found = words & marks
+    known = marks | _PLACES if found <= _HEADERS else marks | (_MADE_OF - _OWN if found <= _LAYOUT else _MADE_OF)
+    return frozenset(found) if words <= known else frozenset()
+
+
+def _marks(names: str, marks: frozenset[str], tag: str) -> set[str]:
+    """The words of marks in those classes and ids that name furniture.  A single
+    paragraph or part of one is no list of comments."""
+    found = {w for token in names.split() for w in _marked(token, marks)}
+    return found - _REMARKS if tag in _PHRASES else found
 
 
 class _Element:
-    __slots__ = ("tag", "names", "parts", "furniture", "named", "main", "key", "headed")
+    __slots__ = ("tag", "names", "parts", "furniture", "named", "main", "key", "headed", "linked")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.parts, self.key, self.headed = tag, [], 0, tag in ("h1", "h2")
+        self.tag, self.parts, self.key, self.headed = tag, [], 0, tag in _HEADINGS
+        #: Of an element with a heading, whether the first one is a link.
+        self.linked = False
         given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
-        self.names = f"{given.get('class', '')} {given.get('id', '')}".strip().lower() if given else ""
+        names = f"{given.get('class', '')} {given.get('id', '')}".strip() if given else ""
+        self.names = names.lower()
         role = given.get("role", "").lower()
         self.main = tag in ("article", "main") or role in ("main", "article") or given.get("itemprop", "").lower() == "articlebody"
-        found = _marks(self.names, _BESIDE if self.main else _NAMES) if self.names and tag not in ("html", "body") else set()
+        found = _marks(names, _BESIDE if self.main else _NAMES, tag) if names and tag not in ("html", "body") else set()
         unseen = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").lower().replace(" ", "")
         #: Whether only names mark the element, and whether only as a header.
         plain = not (tag in _FURNITURE or role in _ROLES or unseen)
@@ -179,7 +205,13 @@ def parse(page: str) -> _Element:
     if at < len(page):
         open_.all[-1].parts.append(page[at:])
     for e in _deep(root):
-        e.headed = e.headed or any(x.__class__ is _Element and x.headed for x in e.parts)
+        inside = [x for x in e.parts if x.__class__ is _Element]
+        if e.tag in _HEADINGS:
+            e.linked = any(x.tag == "a" or x.linked for x in inside) and not any(x.strip() for x in e.parts if x.__class__ is str)
+        else:
+            headed = next((x for x in inside if x.headed), None)
+            e.headed = headed is not None
+            e.linked = headed.linked if headed else e.tag not in ("article", "main") and any(x.tag == "a" or x.linked for x in inside)
     return root
 
 
@@ -233,7 +265,13 @@ def _main(root: _Element) -> list[_Element]:
             inner += own or [e]
         else:
             inner.append(e)
-    return inner or [root]
+    # Beside the page's own article, those headed by a link lead to others.
+    own = [e for e in inner if not _teaser(e)]
+    return own or inner or [root]
+
+
+def _teaser(e: _Element) -> bool:
+    return e.tag == "article" and e.headed and e.linked
 
 
 def _articles(e: _Element) -> list[_Element]:
@@ -263,7 +301,7 @@ def main_text(root: _Element, template: frozenset | set = frozenset(), met: set
                 out.append(e)
                 continue
             if e is not main:
-                if e.furniture and (whole or not _spared(e)) or e.tag == "header" and (whole or not e.headed):
+                if e.furniture and (whole or not _spared(e)) or e.tag == "header" and (whole or not e.headed) or _teaser(e):
                     out.append(" ")
                     continue
                 if e.tag not in _INLINE and (whole or e.tag not in _FLOW) and e.tag not in ("html", "body") and not e.main:

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -485,6 +486,30 @@ def test_mixing(docs, corpus, none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{c: [20] * 10 for c in "abcdef"}, {c: [7, 13, 180] for c in "abc"}, {"a": [5, 0, 40]}, {"a": [0], "b": [0, 0]}, {"a": [1000], "b": [3] * 50, None: [100, 1]}, {"a": [1] * 9, "b": [1] * 9, "c": [1] * 9}])
+def test_mixing_against_a_queue(spark, sizes):
+    """One queue of words in the order of virtual time, cut at the budget; also where sources are alike."""
+    rows = [(i, " ".join(["w"] * n), None, s, 1, "x", 1.5) for i, (s, n) in enumerate((s, n) for s in sizes for n in sizes[s])]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    by_id = {r["doc_id"]: r for r in got}
+    words = []
+    for s in sizes:
+        own, served = sorted((r for r in got if rows[r["doc_id"]][3] == s), key=lambda r: (r["turn"], r["size"] > 0)), 0
+        for _ in range(2):
+            for r in own:
+                for _ in range(r["size"]):
+                    served += 1
+                    words.append((served / r["target"], r["doc_id"]))
+    words.sort()
+    budget = sum(math.floor({rows[r["doc_id"]][3]: r["target"] for r in got}[s]) for s in sizes)
+    assert budget <= 1.5 * sum(map(sum, sizes.values())) < budget + len(sizes) + 1e-6
+    for s in sizes:
+        ids = [r["doc_id"] for r in got if rows[r["doc_id"]][3] == s]
+        want = sum(1 for _, d in words[:budget] if d in ids)
+        assert sum(by_id[d]["taken"] for d in ids) == want == math.floor(by_id[ids[0]]["target"])
+    assert all(r["taken"] == sum(1 for _, d in words[:budget] if d == r["doc_id"]) for r in got)
+
+
 def test_decontamination(spark, docs, none, corpus):
     rng = random.Random(9)
     inner = corpus[0][1].split()
@@ -690,6 +715,55 @@ def test_pages_named_around_articles():
     assert pages.main_text(pages.parse("<div class='cookie-notice'>x</div><div class='site-footer'>y</div><p>Text</p>")) == "Text"
 
 
+LEAKS = """comments-area comments-section comment-body user-comments reader-comments js-comments commentThread disqus_thread related-posts social-icons share-buttons ad-container
+ad-slot ad-unit ads-wrapper ad_300x250 advert-block sponsored-content newsletter-form cookie-bar cookieConsent post-footer entry-footer main-nav comment comments-list"""
+STAY = "side-by-side social-science notice-period has-sidebar no-comment-policy adversary admission commentary footnote header-free navigator editor-comment content-sidebar-wrap"
+
+
+@pytest.mark.parametrize("name", LEAKS.split())
+def test_furniture_by_name(name):
+    text = lambda page: pages.main_text(pages.parse(page))
+    for a in (f'class="{name}"', f"id='{name}'", f'class="x {name}"'):
+        assert text(f"<article><h1>Head</h1><p>Body</p><div {a}><p>Leak</p></div></article>") == "Head Body"
+        assert text(f"<article><h1>Head</h1><p>Body</p></article><section {a}><article><p>Leak</p></article></section>") == "Head Body"
+
+
+@pytest.mark.parametrize("name", STAY.split())
+def test_names_of_no_furniture(name):
+    assert pages.main_text(pages.parse(f'<article><h1>Head</h1><div class="{name}"><p>Body</p></div></article>')) == "Head Body"
+
+
+def test_articles_of_others_and_remarks():
+    text = lambda page: pages.main_text(pages.parse(page))
+    assert text('<article><h1>Own</h1><p>Body</p><p class="comment">Editor says.</p></article><div class="comments-area"><article class="comment-body">Reader says.</article></div>') == "Own Body Editor says."
+    assert text("<main><article><h2>Own</h2><p>Body</p><article><h3><a href=/x>Next</a></h3>teased</article></article><article><h2><a href=/y>Other</a></h2>teased</article></main>") == "Own Body"
+    assert text("<article><h2><a href=/own>Own</a></h2><p>Body</p></article>") == "Own Body"
+    assert text("<article><header><h4>Own</h4></header><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><object data=a>Fall back</object></article>") == "Own Let x=1 be. Fall back"
+
+
+def test_subtrees_are_counted_as_by_hand(spark):
+    """Which containers recur on a host, against a count over the pages; repeated pages count once."""
+    rng = random.Random(4)
+    blocks = [f"<div><p>{prose(rng, 6)}</p></div>" for _ in range(12)]
+    held = [sorted(rng.sample(range(12), rng.randint(0, 6))) for _ in range(60)]
+    rows = [(i, f"http://h{i % 3}.example/{i}", "<article>" + f"<p>Own words {i // 2}</p>" + "".join(blocks[k] for k in held[i]) + "</article>") for i in range(60)] + [(99, None, None)]
+    rows += [(i + 100, u, h) for i, u, h in rows[:9]]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract(docs).collect()}
+    plain = lambda h: " ".join(re.sub("<.*?>", " ", h or "").split())
+    contents: dict = {}
+    for i, u, h in rows[:60]:
+        contents.setdefault(i % 3, {})[plain(h)] = held[i]
+    for i, u, h in rows:
+        if h:
+            host = contents[i % 100 % 3]
+            gone = [k for k in held[i % 100] if (n := sum(k in x for x in host.values())) >= 5 and n >= 0.2 * len(host)]
+            for k in gone:
+                h = h.replace(blocks[k], " ")
+        assert got[i] == plain(h)
+    assert pages.extract(docs.limit(0)).count() == 0
+
+
 def test_markup_never_gets_into_the_text():
     text = lambda page: pages.main_text(pages.parse(page))
     assert text('<article><p>one</p><a href="x>link</a><p>two</p></article>') == "one link two"
