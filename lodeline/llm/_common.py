@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -37,6 +38,13 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+def give_up_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more.  It
+    does so when the driver collects its garbage, which may else be half an hour away."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes a table in the shared folder and reads it back, which cuts the
     lineage; the files go when the application ends."""

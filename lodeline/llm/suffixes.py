@@ -13,6 +13,10 @@ agree for at least length - period + 1 bytes.
    to the full length; of those that tie, the least document keeps the substring.
 3. What a bucket found out goes back as one bit for each key that a batch had sent.
 
+Step 2 goes over the buckets in PASSES, a part of them at a time: a pass deals out only
+the keys of its own buckets, and its shuffle is given up before the next one, so the
+disk holds a part of the keys at any time.
+
 Keys are 64-bit hashes, not the bytes: equality matters, order doesn't.  The keys of
 samples may be shorter, as collisions there only make step 2 look at more suffixes.
 Only one key of each kind leaves a batch of texts, however often it recurs in it, so no
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import delete_at_exit, shared_dir, stage, table
+from ._common import delete_at_exit, give_up_shuffles, shared_dir, stage, table
 from ._words import substring_hashes
 
 LENGTH = 50
@@ -41,9 +45,11 @@ COVERS = {1: (0,), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1
 #: Bytes that sample suffixes are compared by at least, where the length allows it.
 DEPTH = 16
 #: Bytes of text in a batch, batches in a part, and bytes of text in a bucket of the staged table.
-BATCH, PART, TABLE_BUCKET = 8 << 20, 4, 16 << 20
+BATCH, PART, TABLE_BUCKET = 4 << 20, 8, 16 << 20
 #: Keys in a suffix bucket on average, and the least number of such buckets, as a power of 2.
 BUCKET_KEYS, BUCKET_BITS = 1 << 20, 8
+#: Parts of the buckets that step 2 takes one after another.
+PASSES = 4
 #: Bits by which the keys of sample suffixes are longer than their number needs.
 SPARE_BITS = 8
 LAST = np.iinfo(np.int64).max
@@ -96,15 +102,16 @@ class _Texts:
     """A batch and its suffixes; the same batch always gives the same keys in the same order."""
 
     def __init__(self, row: dict, length: int, key_bytes: int) -> None:
-        self.part, self.batch, self.length, self.key_bytes = row["part"], row["batch"], length, key_bytes
+        self.row, self.length, self.key_bytes = row, length, key_bytes
         self.raw = np.frombuffer(row["data"], np.uint8)
         self.ids = np.array(row["ids"], np.int64)
         self.ends = np.array(row["ends"], np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]])
-        self.rank = np.cumsum(np.concatenate([[0], self.ids[1:] != self.ids[:-1]]))
+        self.sample()
+        self.rank = np.cumsum(np.concatenate([[0], self.ids[1:] != self.ids[:-1]])).astype(np.int32)
 
-    def sample(self) -> np.ndarray:
-        """Sample positions whose suffix is deep enough, and the documents they are in."""
+    def sample(self) -> None:
+        """Finds the sample positions whose suffix is deep enough, and the documents they are in."""
         period = period_for(self.length)
         self.depth = self.length - period + 1
         blocks = np.maximum(-(-(self.ends - self.starts) // period), 0)
@@ -113,7 +120,9 @@ class _Texts:
         at = (first[:, None] + np.array(COVERS[period])).reshape(-1)
         doc = np.repeat(doc, len(COVERS[period]))
         deep = at + self.depth <= self.ends[doc]
-        self.at, self.at_doc = at[deep], doc[deep]
+        self.at, self.at_doc = at[deep], doc[deep].astype(np.int32)
+
+    def sample_keys(self) -> np.ndarray:
         return substring_hashes(self.raw, self.at, self.depth) >> np.uint64(64 - 8 * self.key_bytes)
 
     def windows(self, tied: np.ndarray) -> np.ndarray:
@@ -169,7 +178,7 @@ def _cut(keys: np.ndarray, bits: int, bucket_bits: int) -> tuple[np.ndarray, np.
 
 def _rows(texts: _Texts, buckets: np.ndarray, columns: list[list[bytes]]) -> pa.RecordBatch:
     n = len(buckets)
-    arrays = [pa.array(buckets, pa.int64()), pa.array([texts.part] * n, pa.int64()), pa.array([texts.batch] * n, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)]
+    arrays = [pa.array(buckets, pa.int64()), pa.array([texts.row["part"]] * n, pa.int64()), pa.array([texts.row["batch"]] * n, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)]
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", "part", "batch", "keys", "more"])
 
 
@@ -185,7 +194,7 @@ def _samples(length: int, key_bytes: int, bucket_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             texts = _Texts(row, length, key_bytes)
-            keys = texts.sample()
+            keys = texts.sample_keys()
             order, first = _grouped(keys)
             rank = texts.rank[texts.at_doc][order]
             several = np.minimum.reduceat(rank, first) != np.maximum.reduceat(rank, first) if len(first) else first.astype(bool)
@@ -215,20 +224,36 @@ def _answers(group: pa.Table, keys: list[np.ndarray], flags: np.ndarray) -> pa.T
     return group.select(["bucket", "part", "batch"]).append_column("bits", pa.array([_bits(p) for p in parts], pa.binary()))
 
 
+def _tied(length: int, key_bytes: int):
+    """One bit for each sample position of a batch, in their order: whether it ties."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            texts = _Texts(row, length, key_bytes)
+            order, first = _grouped(texts.sample_keys())
+            bits = _bits(_spread(order, first, _flags(row, "ties", len(first))))
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([row["part"]], pa.int64()), pa.array([row["batch"]], pa.int32()), pa.array([bits], pa.binary())], names=["bucket", "part", "batch", "bits"])
+
+    return run
+
+
 def _tied_windows(row: dict, length: int, key_bytes: int) -> tuple[_Texts, np.ndarray]:
     texts = _Texts(row, length, key_bytes)
-    order, first = _grouped(texts.sample())
-    return texts, texts.windows(_spread(order, first, _flags(row, "ties", len(first))))
+    return texts, texts.windows(_flags(row, "tied", len(texts.at)))
 
 
-def _candidates(length: int, key_bytes: int, bucket_bits: int):
-    """Different full keys of each batch, by bucket, with the least document of the batch that has it."""
+def _candidates(length: int, key_bytes: int, bucket_bits: int, low: int, high: int):
+    """Different full keys of each batch, by bucket from low to high, with the least
+    document of the batch that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             texts, keys = _tied_windows(row, length, key_bytes)
+            bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            own = np.flatnonzero((bucket >= low) & (bucket < high))
+            keys, at_doc = keys[own], texts.at_doc[own]
             order, first = _grouped(keys)
-            docs = np.minimum.reduceat(texts.ids[texts.at_doc][order], first) if len(first) else first
+            docs = texts.ids[np.minimum.reduceat(at_doc[order], first)] if len(first) else first
             keys = keys[order][first]
             buckets, cut = _cut(keys, 64, bucket_bits)
             spans = list(zip(cut[:-1], cut[1:], strict=True))
@@ -325,9 +350,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False)
     keyed = "bucket long, part long, batch int, keys binary, more binary"
     samples = batches.mapInArrow(_samples(length, key_bytes, bucket_bits), keyed)
     ties = stage(samples.groupBy("bucket").applyInArrow(_ranked_samples(key_bytes), _BITS), "ties")
-    windows = _with(batches, ties, "ties").mapInArrow(_candidates(length, key_bytes, bucket_bits), keyed)
-    smaller = stage(windows.groupBy("bucket").applyInArrow(_ranked_windows, _BITS), "smaller")
-    told = _with(_with(batches, ties, "ties"), smaller, "smaller")
+    tied = stage(_with(batches, ties, "ties").mapInArrow(_tied(length, key_bytes), _BITS), "tied")
+    del samples, ties
+    smaller, cuts = None, [p * (1 << bucket_bits) // PASSES for p in range(PASSES + 1)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        give_up_shuffles(docs.sparkSession)
+        windows = _with(batches, tied, "tied").mapInArrow(_candidates(length, key_bytes, bucket_bits, low, high), keyed)
+        found = stage(windows.groupBy("bucket").applyInArrow(_ranked_windows, _BITS), "smaller")
+        smaller = found if smaller is None else smaller.union(found)
+    del windows
+    give_up_shuffles(docs.sparkSession)
+    told = _with(_with(batches, tied, "tied"), smaller, "smaller")
     fields = "kept_sha256 string" if digest else "spans array<struct<begin:long,end:long>>, kept binary"
     return told.mapInArrow(_kept(length, key_bytes, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {fields}")
 
