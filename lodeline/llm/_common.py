@@ -59,10 +59,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     """Marks a staged table for broadcast if its counted rows and measured bytes are within the bounds."""
     if df.count() > rows:
         return df
-    wide = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    wide = F.sum(F.length(F.to_json(whole_row(df))))
     return F.broadcast(df) if (df.agg(wide).first()[0] or 0) <= size else df
 
 
+def named(column: str) -> Column:
+    """A column of any name, dots and back quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, in which their names clash with none beside it."""
+    return F.struct(*[named(c).alias(c) for c in df.columns])
+
+
 def held_out(doc_id: Column | str = "doc_id", folds: int = 5) -> Column:
     """Whether crc32 of the id as text is divisible by folds; a null id is held out."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

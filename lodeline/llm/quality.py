@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import held_out, in_order, table
 from ._words import chunks, windows, word_hashes
@@ -192,7 +193,7 @@ def classify(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> Dat
             score = np.round(shared.value.score(_rows(batch.column("text"))), 9)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ["score double", "predicted int"])
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return kept.mapInArrow(run, schema)
 
 

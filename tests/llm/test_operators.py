@@ -144,7 +144,8 @@ def test_pipeline_stages_on_edges(spark, tmp_path, corpus):
     rng = random.Random(61)
     rows = [(i, t, s, len(t or ""), "x", 0.5, 7) for i, t, _, s, *_ in corpus] + [(None, None, None, 0, None, None, None), (None, "", None, 0, None, None, None)]
     rows += [(900, "mail a@b.example.com now " + prose(rng, 60), "a", 1, "x", 0.5, 7)]
-    schema = "doc_id long, text string, source string, n_chars long, node string, score double, predicted int"
+    rows = [(*r, "k", "dot", "tick", "row", 5) for r in rows]
+    schema = "doc_id long, text string, source string, n_chars long, node string, score double, predicted int, key string, `a.b` string, tick string, row string, group int"
     docs = spark.createDataFrame(rows, schema)
     inner = corpus[5][1].split()
     spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -161,7 +162,7 @@ def test_pipeline_stages_on_edges(spark, tmp_path, corpus):
             assert len(kept["near_copies"]) == len(set(kept["near_copies"])) and None in copies and "" in copies
             assert corpus[5][1] not in {r[1] for r in kept["decontamination"]} and len(kept["pii"]) == whole
             said = next(r for r in kept["pii"] if r[0] == 900)
-            assert "example" not in said[1] and said[3] == len(said[1]) and said[4:] == ("x", 0.5, 7)
+            assert "example" not in said[1] and said[3] == len(said[1]) and said[4:] == ("x", 0.5, 7, "k", "dot", "tick", "row", 5)
             assert all(r[4] > 0 for r in kept["mixing"])
 
 
