@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.llm import decontaminate, mixing, ngram_join, pii, quality
-from lodeline.llm._common import small, stage, table
+from lodeline.llm._common import named, small, stage, table, whole_row
 
 #: No SQL expresses boosted trees, so none gives the rows of run().
 ORACLE_SQL = None
@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     together; columns may have any names; an empty table stays empty.
     """
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    scored = quality.classify(docs.select("text", F.struct(*docs.columns).alias("row")), model)
+    scored = quality.classify(docs.select("text", whole_row(docs).alias("row")), model)
     return scored.where("predicted = 1").select("row.*")
 
 
@@ -32,18 +32,19 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     columns may have any names; an empty table stays empty.
     """
     # Ids may recur or be null, so rows go by a hash of id and text; rows equal in both are one.
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
-    groups = ngram_join.join(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, p=80, q=100)
-    groups = stage(groups.groupBy(F.col("doc_id").alias("_key")).agg(F.first("component_id").alias("group"), F.count(F.lit(1)).alias("n")), "groups")
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    keyed = docs.select(key.alias("key"), "doc_id", "text", whole_row(docs).alias("row"))
+    groups = ngram_join.join(keyed.select(F.col("key").alias("doc_id"), "text"), words=5, p=80, q=100)
+    groups = stage(groups.groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("group"), F.count(F.lit(1)).alias("n")), "groups")
     several = small(stage(groups.groupBy("group").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("group"), "several"))
-    shared = groups.join(several, "group").select("_key", "group")
-    named = stage(shared.join(keyed.select("_key", "doc_id").distinct(), "_key"), "shared")
-    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("first"))
-    extra = stage(named.join(small(stage(first, "first")), "group").where("_key <> first").select("_key"), "extra")
-    held = keyed.join(extra, "_key", "left_anti")
+    shared = groups.join(several, "group").select("key", "group")
+    named = stage(shared.join(keyed.select("key", "doc_id").distinct(), "key"), "shared")
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("first"))
+    extra = stage(named.join(small(stage(first, "first")), "group").where("key <> first").select("key"), "extra")
+    held = keyed.select("key", "row").join(extra, "key", "left_anti")
     # Where no kept row recurs, texts needn't be shuffled.
-    again = groups.where("n > 1").join(extra, "_key", "left_anti")
-    return (held if again.isEmpty() else held.dropDuplicates(["_key"])).select(docs.columns)
+    again = groups.where("n > 1").join(extra, "key", "left_anti")
+    return (held if again.isEmpty() else held.dropDuplicates(["key"])).select("row.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     out = pii.pseudonymise(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(*[named(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
