@@ -4,25 +4,37 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which spark.checkpoint.dir names.  Where it is
+    unset, local mode, as in tests, takes a folder of its own; on a cluster it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lodeline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once in the shared folder that spark.checkpoint.dir names, so that
-    what reads it twice works it out once.  Where that is unset, local mode, as in
-    tests, takes a folder of its own; on a cluster it is an error."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="lodeline-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """df, written once as a table in the shared folder, so that what reads it twice works
+    it out once, and by columns.  The files go when the application ends."""
+    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)

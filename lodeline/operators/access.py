@@ -3,14 +3,15 @@ are taken out before any traversal, so no path runs through hidden cases."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import EvidenceGraph
 
 
 def visible(graph: EvidenceGraph, policy: DataFrame, user: str) -> EvidenceGraph:
-    """policy(username, case_id): cases a user may see; ALL stands for every one."""
+    """policy(username, case_id): cases a user may see; ALL stands for every one.  Of the
+    evidence the user sees what a visible entity or relationship rests on."""
     own = policy.where(F.col("username") == user).select("case_id").distinct()
     if not own.where("case_id = 'ALL'").isEmpty():
         return graph
@@ -20,7 +21,9 @@ def visible(graph: EvidenceGraph, policy: DataFrame, user: str) -> EvidenceGraph
     edges = graph.relationships
     for end in ("source_id", "target_id"):
         edges = edges.join(entities.select(F.col("id").alias(end)), end, "left_semi")
-    return EvidenceGraph(entities, edges.select(graph.relationships.columns), graph.evidence)
+    edges = edges.select(graph.relationships.columns)
+    rests_on = edges.select(F.explode("evidence_ids").alias("evidence_id")).union(entities.select(F.explode("source_ids")))
+    return EvidenceGraph(entities, edges, graph.evidence.join(rests_on.distinct(), "evidence_id", "left_semi").select(graph.evidence.columns))
 
 
 class WriteDenied(PermissionError):
@@ -28,7 +31,7 @@ class WriteDenied(PermissionError):
 
 
 def may_write(role: str) -> None:
-    """Raises for roles that only read; every change operator's caller asks it first."""
+    """Raises for roles that only read; every change of a graph asks it first."""
     if role.upper() in ("READ_ONLY", "READONLY", "ANALYST"):
         raise WriteDenied(role)
 
@@ -36,14 +39,30 @@ def may_write(role: str) -> None:
 AUDIT = "id string, timestamp string, actor string, action string, resource_type string, resource_id string, case_id string, status string, details map<string,string>"
 
 
+SAID = ("timestamp", "actor", "action", "resource_type", "resource_id", "case_id", "status")
+
+
+def _said() -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in SAID]
+
+
+def audit_id() -> Column:
+    """The id that is shown: short, so not one of its own among many events."""
+    return F.concat(F.lit("AUDIT_"), F.upper(F.substring(F.sha2(F.concat_ws("|", *_said()), 256), 1, 8)))
+
+
+def audit_key() -> Column:
+    """What tells one event from all others: a hash of its fields, each with its length."""
+    return F.sha2(F.concat_ws("|", *[x for c in _said() for x in (F.length(c).cast("string"), c)]), 256)
+
+
 def audit_append(audit: DataFrame, events: DataFrame) -> DataFrame:
     """audit with events(timestamp, actor, action, resource_type, resource_id, case_id,
-    status, details) added; an event's id is a hash of what it says, so a second
-    append of it adds nothing."""
-    said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("timestamp", "actor", "action", "resource_type", "resource_id", "case_id", "status")]
-    id_ = F.concat(F.lit("AUDIT_"), F.upper(F.substring(F.sha2(F.concat_ws("|", *said), 256), 1, 8)))
-    new = events.withColumn("id", id_).select(audit.columns).dropDuplicates(["id"])
-    return audit.unionByName(new.join(audit.select("id"), "id", "left_anti").select(audit.columns))
+    status, details) added.  Events that say the same are one, so a second append of
+    one adds nothing; events of equal ids that say something else are all kept."""
+    new = events.withColumn("id", audit_id()).withColumn("key", audit_key()).dropDuplicates(["key"])
+    have = audit.select(audit_key().alias("key"))
+    return audit.unionByName(new.join(have, "key", "left_anti").select(audit.columns))
 
 
 def audit_filter(audit: DataFrame, status: str) -> DataFrame:

@@ -23,12 +23,13 @@ class UnknownEntity(KeyError):
     """An end of a path that the graph doesn't have."""
 
 
-def _grow(start: DataFrame, edges: DataFrame, steps: int) -> list[DataFrame]:
-    """Partial paths of 0..steps edges from start(id)."""
+def _grow(start: DataFrame, edges: DataFrame, steps: int, ends: DataFrame | None = None) -> list[DataFrame]:
+    """Partial paths of 0..steps edges from start(id); with ends(id), the last step leads only there."""
     none = F.array().cast("array<string>")
     walks = [start.select(F.col("id").alias("cur"), F.array("id").alias("nodes"), none.alias("rels"), F.lit(1.0).alias("conf"), none.alias("evid"))]
-    for _ in range(steps):
-        w = walks[-1].join(edges, F.col("cur") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+    for k in range(steps):
+        there = edges if ends is None or k + 1 < steps else edges.join(ends.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(edges.columns)
+        w = walks[-1].join(there, F.col("cur") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
         walks.append(checkpointed(w.select(F.col("dst").alias("cur"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("rels", F.array("rel_id")).alias("rels"), F.least("conf", F.coalesce("confidence", F.lit(1.0))).alias("conf"), F.array_union("evid", F.coalesce("evidence_ids", none)).alias("evid"))))
     return walks
 
@@ -67,7 +68,7 @@ def _from_few(graph: EvidenceGraph, sources: DataFrame, targets: DataFrame, max_
     """Whole paths grown from the sources, with back from the targets."""
     few, others = (targets, sources) if back else (sources, targets)
     edges = checkpointed(graph.edges(("incoming" if back else "outgoing") if directed else "undirected").where("src <> dst"))
-    walks = _grow(few.select("id"), edges, max_depth)
+    walks = _grow(few.select("id"), edges, max_depth, others)
     whole = walks[1]
     for w in walks[2:]:
         whole = whole.union(w)
@@ -130,10 +131,10 @@ def best(paths: DataFrame, by: str = "hops") -> DataFrame:
     return b.select("source_id", "target_id", F.col("b.hop_count").alias("hop_count"), (-F.col("b.c")).alias("confidence"), F.col("b.path").alias("path"))
 
 
-def compared(paths: DataFrame) -> DataFrame:
-    """Best path of each pair with its rank among those of its source, whether it is
-    direct, and the entities in between."""
+def compared(routes: DataFrame) -> DataFrame:
+    """Routes, one for each pair of ends (as best() or routes.search() give them), with the
+    rank among those of the source, whether it is direct, and the entities in between."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("source_id").orderBy("hop_count", F.desc("confidence"), "path")
-    return best(paths).withColumn("rank", F.row_number().over(order)).withColumn("is_direct", F.col("hop_count") == 1).withColumn("between", F.array_join(F.slice(F.split("path", "->"), F.lit(2), F.col("hop_count").cast("int") - 1), "->"))
+    return routes.withColumn("rank", F.row_number().over(order)).withColumn("is_direct", F.col("hop_count") == 1).withColumn("between", F.array_join(F.slice(F.split("path", "->"), F.lit(2), F.col("hop_count").cast("int") - 1), "->"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..functions import scalar as S
-from ..graph import EvidenceGraph
-from ..operators import access, findings, ingest, lookup, mutate, neighbours, network, paths, patterns, report, resolve, stats, text, timeline, validate
-from ..sources import records, testdata
+from ..graph import EvidenceGraph, checkpointed, delete_at_exit, shared_folder
+from ..operators import access, clusters, findings, ingest, lookup, mutate, names, neighbours, network, paths, patterns, postings, report, resolve, routes, stats, text, timeline, validate
+from ..sources import files, records, testdata, versions
 from . import planner
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,6 +206,13 @@ def _routes(g: EvidenceGraph) -> DataFrame:
     return paths.simple_paths(g.only(*ROUTES), ids.where("id = 'CASE_1'"), ids.where("id <> 'CASE_1'"), 4).withColumn("hop_count", F.col("hop_count").cast("long"))
 
 
+def _best_routes(g: EvidenceGraph, by: str = "hops") -> DataFrame:
+    """The best from one case to each other, by a search that lists no others."""
+    ids = g.entities.where("entity_type = 'CASE'").select("id")
+    found = routes.search(checkpointed(routes.links(g.only(*ROUTES))), ids.where("id = 'CASE_1'"), ids.where("id <> 'CASE_1'"), 4, by)
+    return found.withColumn("hop_count", F.col("hop_count").cast("long"))
+
+
 def _shown(p: DataFrame) -> DataFrame:
     return p.withColumn("path", F.array_join("nodes", "->")).withColumn("evidence", F.array_join("evidence_ids", ","))
 
@@ -242,22 +250,22 @@ _BEST = _PATHS + ", b AS (SELECT *, row_number() OVER (PARTITION BY source_id, t
 
 @_add("shortest_path", _BEST.format(order="hop_count, confidence DESC, path", cols="source_id, target_id, hop_count, confidence, path"))
 def _(g, spark, sf):
-    return paths.best(_routes(g))
+    return _best_routes(g)
 
 
 @_add("strongest_path", _BEST.format(order="confidence DESC, hop_count, path", cols="source_id, target_id, hop_count, confidence, path"))
 def _(g, spark, sf):
-    return paths.best(_routes(g), "confidence")
+    return _best_routes(g, "confidence")
 
 
 @_add("path_comparison", _BEST.format(order="hop_count, confidence DESC, path", cols="source_id, target_id, hop_count, confidence, path, row_number() OVER (ORDER BY hop_count, confidence DESC, path) AS rank, hop_count = 1 AS is_direct, array_to_string(nodes[2:len(nodes) - 1], '->') AS between"))
 def _(g, spark, sf):
-    return paths.compared(_routes(g)).withColumn("rank", F.col("rank").cast("long"))
+    return paths.compared(_best_routes(g)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @_add("unusual_paths", _BEST.format(order="hop_count, confidence DESC, path", cols="source_id, target_id, hop_count, confidence, path") + " AND hop_count >= 4 AND source_id < target_id")
 def _(g, spark, sf):
-    return paths.best(_routes(g)).where("hop_count >= 4 and source_id < target_id")
+    return _best_routes(g).where("hop_count >= 4 and source_id < target_id")
 
 
 _PERSONS_CASES = ", k AS (SELECT DISTINCT dst AS id FROM und WHERE src = 'PERSON_5' AND relationship = 'INVOLVED_IN')"
@@ -271,6 +279,35 @@ def _(g, spark, sf):
     return patterns.bridges(g.only(*ROUTES), ids).withColumn("hop_count", F.col("hop_count").cast("long"))
 
 
+@_add("strongest_routes", """, b AS MATERIALIZED (SELECT src, dst, max(confidence) AS c FROM und WHERE src <> dst GROUP BY 1, 2),
+reach(node, c) AS (SELECT 'CASE_1', CAST(1.0 AS DOUBLE) UNION SELECT b.dst, least(r.c, b.c) FROM reach r JOIN b ON b.src = r.node)
+SELECT 'CASE_1' AS source_id, node AS target_id, max(c) AS confidence FROM reach WHERE starts_with(node, 'CASE_') AND node <> 'CASE_1' GROUP BY node""")
+def _(g, spark, sf):
+    """Over all relationships and routes of any length."""
+    ids = g.entities.where("entity_type = 'CASE'").select("id")
+    pairs = ids.where("id <> 'CASE_1'").select(F.lit("CASE_1").alias("source_id"), F.col("id").alias("target_id"))
+    return routes.bottlenecks(routes.forest(routes.links(g)), pairs)
+
+
+_CLASSES = """, k AS MATERIALIZED (SELECT src AS p, min(dst) AS class_id, count(*) AS n FROM und WHERE relationship = 'INVOLVED_IN' AND starts_with(dst, 'CASE_') GROUP BY src),
+u AS MATERIALIZED (SELECT k.class_id, k.n, dst AS via, max(confidence) AS c FROM und JOIN k ON k.p = src WHERE relationship = 'USES' GROUP BY ALL),
+w AS (SELECT a.class_id AS x, b.class_id AS y, a.n * b.n AS pairs, a.via, least(a.c, b.c) AS c FROM u a JOIN u b ON a.via = b.via AND a.class_id < b.class_id),
+bridge AS (SELECT 'CLASSES' AS kind, class_id AS first_class, class_id AS second_class, p AS via, CAST(2 AS BIGINT) AS hop_count, CAST(1.0 AS DOUBLE) AS confidence, CAST(n * (n - 1) // 2 AS BIGINT) AS case_pairs FROM k WHERE n > 1
+  UNION ALL SELECT 'CLASSES', x, y, arg_min(via, (-c, via)), 4, max(c), CAST(any_value(pairs) AS BIGINT) FROM w GROUP BY x, y)
+""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3")
+
+
+@_add("case_bridges", _CLASSES + "SELECT * FROM bridge")
+def _(g, spark, sf):
+    """Of all cases: in this graph those of one person are a class, as a case has one person."""
+    return patterns.case_bridges(g.only(*ROUTES)).withColumn("hop_count", F.col("hop_count").cast("long"))
+
+
+@_add("unusual_bridges", _CLASSES + "SELECT first_class, second_class, via, hop_count, confidence, case_pairs FROM bridge WHERE hop_count >= 4")
+def _(g, spark, sf):
+    return patterns.unusual_paths(g.only(*ROUTES)).select("first_class", "second_class", "via", F.col("hop_count").cast("long").alias("hop_count"), "confidence", "case_pairs")
+
+
 # ---- text
 
 _SAMPLES = [
@@ -354,9 +391,43 @@ def _(spark, sf):
     return resolve.candidates_additive(_people(spark, sf))
 
 
-@_add("resolution_similar", graph=False)
+def _spelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Persons whose names a rule spells: of each three keys one name, one without its
+    fourth letter, and one with two other letters."""
+    k = F.col("c_custkey")
+    letters = F.translate(F.md5(F.concat(F.lit("n"), (k - k % 3).cast("string"))), "0123456789abcdef", "aeioubdgklmnrstv")
+    base = F.concat(F.substring(letters, 1, 6), F.lit(" "), F.substring(letters, 7, 8))
+    name = F.when(k % 3 == 0, base).when(k % 3 == 1, F.concat(F.substring(base, 1, 3), F.substring(base, 5, 30))).otherwise(F.concat(F.substring(base, 1, 8), F.lit("xy"), F.substring(base, 11, 30)))
+    tag = lambda t, n: F.array(F.concat(F.lit(t), n.cast("string")))
+    return spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("PERSON_"), k.cast("string")).alias("id"), name.alias("name"), tag("PHONE_", k % 701).alias("phone_ids"), tag("VEH_", k % 337).alias("vehicle_ids"))
+
+
+#: The matched share by recursion: of each pair of pieces the longest common substring, then what is left and right of it.
+_SPELLED = """WITH RECURSIVE b AS (SELECT c_custkey AS k, translate(md5('n' || (c_custkey - c_custkey % 3)), '0123456789abcdef', 'aeioubdgklmnrstv') AS h FROM customer),
+c AS (SELECT k, substr(h, 1, 6) || ' ' || substr(h, 7, 8) AS n FROM b),
+p AS MATERIALIZED (SELECT k, 'PERSON_' || k AS id, CASE k % 3 WHEN 0 THEN n WHEN 1 THEN substr(n, 1, 3) || substr(n, 5) ELSE substr(n, 1, 8) || 'xy' || substr(n, 11) END AS name FROM c),
+m AS MATERIALIZED (SELECT x.id AS a, y.id AS b, x.name AS name_a, y.name AS name_b, CAST(x.k % 701 = y.k % 701 AS INT) AS phone, CAST(x.k % 337 = y.k % 337 AS INT) AS vehicle FROM p x JOIN p y ON x.id < y.id
+  WHERE x.k % 701 = y.k % 701 OR x.k % 337 = y.k % 337 OR 5 * levenshtein(x.name, y.name) <= length(x.name) + length(y.name)
+  OR (string_split(x.name, ' ')[2] = string_split(y.name, ' ')[2] AND x.name[1] = y.name[1])),
+parts(x, y, u, v, n) AS (SELECT x, y, x, y, CAST(0 AS BIGINT) FROM (SELECT name_a AS x, name_b AS y FROM m UNION SELECT name_b, name_a FROM m)
+  UNION ALL SELECT x, y, side[1], side[2], CASE WHEN place = 1 THEN length(u) * 0 + b.n ELSE 0 END FROM (
+    SELECT x, y, u, v, b, unnest([[substr(u, 1, b.i - 1), substr(v, 1, b.j - 1)], [substr(u, b.i + b.n), substr(v, b.j + b.n)]]) AS side, unnest([1, 2]) AS place FROM (
+      SELECT x, y, u, v, list_sort(flatten([[{'o': -k, 'i': i, 'j': instr(v, substr(u, i, k)), 'n': k} FOR k IN range(1, length(u) - i + 2) IF instr(v, substr(u, i, k)) > 0] FOR i IN range(1, length(u) + 1)]))[1] AS b FROM parts WHERE u <> '' AND v <> '') WHERE b IS NOT NULL)),
+r AS (SELECT x, y, 2.0::DOUBLE * sum(n) / (length(x) + length(y)) AS share FROM parts GROUP BY x, y),
+s AS (SELECT a, b, name_a, name_b, phone, vehicle, CASE WHEN name_a = name_b THEN 1.0::DOUBLE WHEN string_split(name_a, ' ')[2] = string_split(name_b, ' ')[2] AND name_a[1] = name_b[1] THEN 0.88::DOUBLE ELSE share END AS name_score
+  FROM m JOIN r ON x = name_a AND y = name_b),
+t AS (SELECT *, greatest(name_score, CASE WHEN phone = 1 THEN 0.92::DOUBLE ELSE 0 END, CASE WHEN vehicle = 1 THEN 0.94::DOUBLE ELSE 0 END) AS best FROM s WHERE name_score >= 0.8 OR phone = 1 OR vehicle = 1)
+"""
+
+
+@_add("resolution_similar", _SPELLED + "SELECT a, b, name_a, name_b, round(name_score, 4) AS name_score, phone, vehicle, round(best, 4) AS score, 'PENDING_REVIEW' AS status FROM t WHERE round(best, 4) >= 0.75", graph=False)
+def _(spark, sf):
+    return resolve.candidates_similar(_spelled(spark, sf))
+
+
+@_add("names_alike", _SPELLED + "SELECT least(x, y) AS name_a, greatest(x, y) AS name_b, round(max(share), 4) AS share FROM r WHERE share >= 0.8 AND x <> y GROUP BY 1, 2", graph=False)
 def _(spark, sf):
-    return resolve.candidates_similar(_people(spark, sf))
+    return names.alike(_spelled(spark, sf)).withColumn("share", F.round("share", 4))
 
 
 @_add("resolution_compare", _PEOPLE + "SELECT a.id AS a, b.id AS b, array_to_string(list_filter([CASE WHEN a.name = b.name THEN 'name' END, CASE WHEN a.c_nationkey = b.c_nationkey THEN 'location_id' END], lambda x: x IS NOT NULL), ',') AS matching_fields, array_to_string(list_filter([CASE WHEN a.name <> b.name THEN 'name' END, CASE WHEN a.c_nationkey <> b.c_nationkey THEN 'location_id' END], lambda x: x IS NOT NULL), ',') AS conflicting_fields, CASE WHEN a.name <> b.name AND a.c_nationkey <> b.c_nationkey THEN 'DISTINCT' ELSE 'CONFLICT' END AS match_status, 'PENDING_REVIEW' AS status FROM p a, p b WHERE a.id = 'PERSON_5' AND b.id = 'PERSON_7'", graph=False)
@@ -505,6 +576,48 @@ def _(g, spark, sf):
     return network.components(g.only("INVOLVED_IN", "INVOLVES"))
 
 
+_VOTES = """, w AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM und WHERE src <> dst GROUP BY 1, 2),
+l0 AS (SELECT id, id AS label FROM ent),
+""" + ",\n".join(
+    f"""v{k} AS (SELECT src, arg_min(label, (-n, label)) AS label FROM (SELECT src, label, CAST(sum(n) AS BIGINT) AS n FROM w JOIN l{k} ON dst = id WHERE (md5(src) >= '8') = {bool(k % 2)} GROUP BY 1, 2) GROUP BY 1),
+l{k + 1} AS MATERIALIZED (SELECT id, coalesce(v{k}.label, l{k}.label) AS label FROM l{k} LEFT JOIN v{k} ON src = id)"""
+    for k in range(clusters.ROUNDS)
+) + f""",
+l AS (SELECT * FROM l{clusters.ROUNDS}), size AS (SELECT label, count(*) AS members FROM l GROUP BY 1 HAVING count(*) >= 2),
+placed AS MATERIALIZED (SELECT r.*, a.label AS a, b.label AS b, CASE relationship WHEN 'ASSOCIATED_WITH' THEN 'ORGANIZED_CELL' WHEN 'USES' THEN 'COMMUNICATION_RING' WHEN 'LOCATED_AT' THEN 'CO_LOCATION_CLUSTER' ELSE 'ASSOCIATED_GROUP' END AS kind
+  FROM rel r JOIN l a ON a.id = source_id JOIN l b ON b.id = target_id)
+"""
+_COMMUNITIES = _VOTES + """, inn AS (SELECT a AS label, count(*) AS m, round(CAST(sum(CAST(confidence AS DECIMAL(18, 4))) AS DOUBLE) / count(*), 4) AS confidence, count(DISTINCT evid) AS evidence FROM placed WHERE a = b GROUP BY 1),
+kinds AS (SELECT label, arg_min(kind, (-n, kind)) AS kind FROM (SELECT a AS label, kind, count(*) AS n FROM placed WHERE a = b GROUP BY 1, 2) GROUP BY 1),
+outs AS (SELECT label, count(*) AS x FROM (SELECT a AS label FROM placed WHERE a <> b UNION ALL SELECT b FROM placed WHERE a <> b) GROUP BY 1),
+cs AS (SELECT label, count(*) AS cases FROM ent JOIN l ON l.id = ent.id WHERE entity_type = 'CASE' GROUP BY 1),
+t AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM placed),
+f AS (SELECT label, members, coalesce(m, 0) AS m, coalesce(x, 0) AS x, coalesce(cases, 0) AS cases, coalesce(confidence, 0) AS confidence, coalesce(evidence, 0) AS evidence, coalesce(kind, 'POTENTIAL_GROUP') AS kind, total
+  FROM size LEFT JOIN inn USING (label) LEFT JOIN outs USING (label) LEFT JOIN cs USING (label) LEFT JOIN kinds USING (label) CROSS JOIN t)
+SELECT label AS community, members, m AS internal_edges, x AS external_edges, round(least(1.0, CAST(2.0 AS DOUBLE) * m / (members * (members - 1))), 8) AS density, round(m / total - ((2 * m + x) / (2 * total)) * ((2 * m + x) / (2 * total)), 8) + 0.0 AS modularity,
+  cases AS linked_cases, cases >= 2 AS cross_case, confidence, CASE WHEN confidence >= 0.9 THEN 'HIGH' WHEN confidence >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS tier, evidence, kind AS classification FROM f"""
+
+
+@_add("label_communities", _COMMUNITIES)
+def _(g, spark, sf):
+    """Over all relationships."""
+    return clusters.communities(g)
+
+
+@_add("label_community_members", _VOTES + """, e AS (SELECT source_id AS id, b AS other FROM placed UNION ALL SELECT target_id, a FROM placed),
+c AS (SELECT l.label AS community, l.id, count(*) FILTER (other = l.label) AS inside, count(*) FILTER (other <> l.label) AS outside, count(DISTINCT other) FILTER (other <> l.label) AS others FROM l JOIN size USING (label) LEFT JOIN e ON e.id = l.id GROUP BY 1, 2),
+z AS (SELECT c.*, round(coalesce(inside / nullif(max(inside) OVER (PARTITION BY community), 0), 0), 4) AS centrality FROM c)
+SELECT community, z.id, entity_type, inside, outside, centrality, CASE WHEN others >= 2 THEN 'BRIDGE' WHEN centrality >= 0.5 THEN 'CORE' ELSE 'PERIPHERAL' END AS role FROM z JOIN ent ON ent.id = z.id""")
+def _(g, spark, sf):
+    return clusters.members(g)
+
+
+@_add("label_community_assets", _VOTES + """, near AS (SELECT DISTINCT a.label, dst, p.entity_type, src FROM und JOIN l a ON a.id = src JOIN l b ON b.id = dst AND a.label = b.label JOIN ent s ON s.id = src AND s.entity_type = 'PERSON' JOIN ent p ON p.id = dst AND p.entity_type IN ('PHONE', 'LOCATION'))
+SELECT label AS community, entity_type, count(*) AS assets FROM (SELECT label, entity_type, dst FROM near GROUP BY 1, 2, 3 HAVING count(*) >= 2) GROUP BY 1, 2""")
+def _(g, spark, sf):
+    return clusters.shared_assets(g, clusters.propagated(g))
+
+
 @_add("graph_density", " SELECT (SELECT count(*) FROM ent) AS n, (SELECT count(*) FROM rel) AS m, round(CAST(2.0 AS DOUBLE) * (SELECT count(*) FROM rel) / ((SELECT count(*) FROM ent) * ((SELECT count(*) FROM ent) - 1)), 8) AS density")
 def _(g, spark, sf):
     return network.graph_density(g)
@@ -713,6 +826,76 @@ def _(g, spark, sf):
     return lookup.by_type(mutate.create_case(g, "New case", "CASE_NEW"), "CASE").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_add("delete_cascade_rows", " SELECT id, source_id, target_id FROM rel WHERE source_id <> 'PERSON_5' AND target_id <> 'PERSON_5'")
+def _(g, spark, sf):
+    return mutate.delete_entity(g, spark.createDataFrame([(PERSON,)], "id string")).relationships.select("id", "source_id", "target_id")
+
+
+@_add("create_and_link_edge", """, n AS (SELECT 'PERSON_' || substr(sha256('PERSON|New Person'), 1, 12) AS p)
+SELECT id, source_id, relationship, target_id, confidence FROM rel WHERE target_id = 'CASE_1' UNION ALL SELECT 'REL_MANUAL_' || p || '_INVOLVED_IN_CASE_1', p, 'INVOLVED_IN', 'CASE_1', CAST(0.95 AS DOUBLE) FROM n""")
+def _(g, spark, sf):
+    new = mutate.create_and_link(g, "suspect", "New Person", "CASE_1")
+    return new.relationships.where("target_id = 'CASE_1'").select("id", "source_id", "relationship", "target_id", "confidence")
+
+
+@_add("create_case_row", " SELECT id, title, status, priority FROM ent WHERE entity_type = 'CASE' UNION ALL SELECT 'CASE_NEW', 'New case', 'ACTIVE', 'MEDIUM'")
+def _(g, spark, sf):
+    return lookup.by_type(mutate.create_case(g, "New case", "CASE_NEW"), "CASE").select("id", "title", "status", "priority")
+
+
+@_add("cypher_statements", " SELECT 0 AS part, 'MERGE (n:' || entity_type || ' {id: \"' || id || '\"}) SET n.label = \"' || coalesce(name, title, phone_number, id) || '\";' AS statement FROM ent UNION ALL SELECT 1, 'MATCH (a {id: \"' || source_id || '\"}), (b {id: \"' || target_id || '\"}) MERGE (a)-[r:' || relationship || ' {id: \"' || id || '\"}]->(b);' FROM rel")
+def _(g, spark, sf):
+    return records.cypher(g).select("part", "statement")
+
+
+@_add("visible_rows", ", e AS (SELECT * FROM ent WHERE entity_type <> 'CASE' OR id IN ('CASE_1', 'CASE_2')), v AS (SELECT * FROM rel WHERE source_id IN (SELECT id FROM e) AND target_id IN (SELECT id FROM e)) SELECT 'relationship' AS part, id FROM v UNION ALL SELECT 'evidence', evid FROM v UNION ALL SELECT 'entity', id FROM e")
+def _(g, spark, sf):
+    """All that a user of two cases sees, evidence too."""
+    policy = spark.createDataFrame([("ann", "CASE_1"), ("ann", "CASE_2"), ("bob", "ALL")], "username string, case_id string")
+    seen = access.visible(g, policy, "ann")
+    part = lambda name, df, c: df.select(F.lit(name).alias("part"), F.col(c).alias("id"))
+    return part("relationship", seen.relationships, "id").union(part("evidence", seen.evidence, "evidence_id")).union(part("entity", seen.entities, "id"))
+
+
+@_add("entity_search_indexed", " SELECT id FROM ent WHERE contains(lower(concat_ws('|', id, name, title, phone_number)), 'customer#00000001')")
+def _(g, spark, sf):
+    """By trigram postings of all searched texts."""
+    return postings.search(postings.index(postings.texts_of(g.entities)), "Customer#00000001")
+
+
+@_add("evidence_search_indexed", " SELECT evid AS id FROM rel WHERE contains(lower('Record of ' || id), 'rel_use_12')")
+def _(g, spark, sf):
+    texts = postings.texts_of(g.evidence, "evidence_id", ("source_text",), None)
+    return postings.search(postings.index(texts), "REL_USE_12")
+
+
+@_add("graph_json_scan", " SELECT id, entity_type, coalesce(name, title, phone_number, id) AS label, status, location_id FROM ent")
+def _(g, spark, sf):
+    """Written as graph files of some thousand records each, and read by the source for them."""
+    count = g.entities.count()
+    cell = F.pmod(F.xxhash64("id"), F.lit(max(1, count // 2_000)))
+    packed = g.entities.groupBy(cell.alias("cell")).agg(F.to_json(F.struct(F.collect_list(F.struct(*[c for c in g.entities.columns if c != "extras"])).alias("entities"))).alias("value"))
+    path = f"{shared_folder(spark)}/graph-json-{uuid.uuid4().hex}"
+    packed.select("value", "cell").write.partitionBy("cell").text(path)
+    delete_at_exit(spark, path)
+    files.register(spark)
+    found = spark.read.format("evidence_graph").option("part", "entities").load(path)
+    return found.select("id", "entity_type", S.label().alias("label"), "status", "location_id")
+
+
+@_add("graph_versions", """ SELECT id, entity_type, CASE WHEN id = 'LOC_3' THEN 'RENAMED' ELSE coalesce(name, title, phone_number, id) END AS label, 0 AS edges FROM ent WHERE id <> 'PERSON_5' UNION ALL SELECT 'PERSON_NEW', 'PERSON', 'Someone', 0
+UNION ALL SELECT id, relationship, source_id || '->' || target_id, 1 FROM rel WHERE source_id <> 'PERSON_5' AND target_id <> 'PERSON_5'""")
+def _(g, spark, sf):
+    """A graph on disk, changed in place."""
+    path = f"{shared_folder(spark)}/graph-versions-{uuid.uuid4().hex}"
+    versions.create(g, path)
+    delete_at_exit(spark, path)
+    versions.upsert(spark, path, entities=spark.createDataFrame([("LOC_3", "LOCATION", "RENAMED"), ("PERSON_NEW", "PERSON", "Someone")], "id string, entity_type string, name string"))
+    versions.delete(spark, path, spark.createDataFrame([(PERSON,)], "id string"))
+    now = versions.read(spark, path)
+    return now.entities.select("id", "entity_type", S.label().alias("label"), F.lit(0).alias("edges")).union(now.relationships.select("id", "relationship", F.concat_ws("->", "source_id", "target_id"), F.lit(1)))
+
+
 # ---- scalar functions
 
 

@@ -34,7 +34,16 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The columns of schema, cast, missing ones null and missing lists empty;
     columns that it doesn't know go to the map `extras`."""
     have = set(df.columns)
-    known = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else (F.array().cast(f.dataType) if isinstance(f.dataType, T.ArrayType) else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+
+    def known_as(f: T.StructField):
+        if f.name not in have:
+            return F.array().cast(f.dataType) if isinstance(f.dataType, T.ArrayType) else F.lit(None).cast(f.dataType)
+        # A reader that infers types makes an object of unknown keys a struct.
+        if isinstance(f.dataType, T.MapType) and isinstance(df.schema[f.name].dataType, T.StructType):
+            return F.from_json(F.to_json(f.name), f.dataType)
+        return F.col(f.name).cast(f.dataType)
+
+    known = [known_as(f).alias(f.name) for f in schema.fields]
     extra = sorted(c for c in have - set(schema.names) if c != "extras")
     pairs = [x for c in extra for x in (F.lit(c), F.col(c).cast("string"))]
     extras = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
