@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 PHONE = r"(?:\+?91[\-\s]?)?[6-9][0-9]{9}"
 PHONE_BOUND = r"\+?91[\-\s]?[6-9][0-9]{9}|\b[6-9][0-9]{9}\b"
 PLATE = r"[A-Z]{2}[\-\s]?[0-9]{2}[\-\s]?[A-Z]{1,2}[\-\s]?[0-9]{4}"
+PLATE_BOUND = r"\b[A-Z]{2}[\-\s]?[0-9]{2}[\-\s]?[A-Z]{1,2}[\-\s]?[0-9]{4}\b"
 PERSON_LINE = r"(?:Mr\.|Ms\.|Shri|Officer|Suspect|Person)?\s*([A-Z][a-z]+\s+[A-Z][a-z]+)"
 PERSON = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"
+PERSON_GIVEN = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+(?:\s*\(PERSON_[0-9]+\))?"
 CASE_REF = r"(?i)(?:CASE|FIR)[\-_\s]?([0-9]+)"
 USES = r"(?i)(uses|using|operated|utilizing)"
 STOP = ("Zaveri Bazaar", "Mumbai Police", "Crime Branch", "Logistics Yard", "Zaveri Bazar", "Operation Midnight", "Operation Golden")
@@ -38,6 +40,12 @@ def persons(text) -> Column:
     return found(text, PERSON)
 
 
+def persons_given(text) -> Column:
+    """Each name with the id in brackets behind it, if there is one."""
+    given = lambda m: F.nullif(F.regexp_extract(m, r"\((PERSON_[0-9]+)\)$", 1), F.lit(""))
+    return F.transform(found(text, PERSON_GIVEN), lambda m: F.struct(F.regexp_extract(m, PERSON, 0).alias("value"), given(m).alias("given")))
+
+
 def case_refs(text) -> Column:
     return F.transform(found(text, CASE_REF, 1), lambda n: F.concat(F.lit("CASE_"), n))
 

@@ -84,3 +84,42 @@ def counts(graph: EvidenceGraph) -> DataFrame:
 
 def labels(graph: EvidenceGraph) -> DataFrame:
     return graph.entities.select("id", label().alias("label"), F.col("entity_type").alias("type"), confidence().alias("confidence"))
+
+
+def client_search(graph: EvidenceGraph, term: str, entity_type: str | None = None) -> DataFrame:
+    """Entities that have the term in a searched field, the description, or a field that
+    the schema doesn't know (its name left out), in any case; of one type, if given."""
+    low = F.lit(term.lower())
+    more = F.coalesce(F.exists(F.map_values("extras"), lambda v: F.lower(v).contains(low)), F.lit(False))
+    e = graph.entities if entity_type is None or entity_type.upper() == "ALL" else by_type(graph, entity_type)
+    return e.where(matches(term, (*SEARCHED, "description")) | more)
+
+
+def case_detail(graph: EvidenceGraph, case_id: str) -> DataFrame:
+    """The case's row; KeyError where there is none, or the id is not of a case."""
+    found = by_id(by_type(graph, "CASE"), case_id)
+    if found.isEmpty():
+        raise KeyError(case_id)
+    return found
+
+
+def shown_edges(graph: EvidenceGraph, supported_only: bool = False, source_types=None, cross_case: bool | None = None) -> DataFrame:
+    """Relationships with cross_case (whether an end is next to two cases and more), under
+    the filters of a graph view: with evidence only, from some kinds of source, crossing
+    cases or not.  A relationship that names no source is of none."""
+    case = graph.entities.where("entity_type = 'CASE'").select(F.col("id").alias("dst"))
+    near = graph.edges().join(case, "dst").groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("n")).where("n >= 2").select("id")
+    r = graph.relationships if not supported_only else supported(graph)
+    if source_types:
+        r = r.where(F.col("source_type").isin(*source_types))
+    for end in ("source_id", "target_id"):
+        r = r.join(near.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    r = r.withColumn("cross_case", F.coalesce("_source_id", "_target_id", F.lit(False)))
+    r = r.select(*graph.relationships.columns, "cross_case")
+    return r if cross_case is None else r.where(F.col("cross_case") == F.lit(cross_case))
+
+
+def evidence_shown(graph: EvidenceGraph) -> DataFrame:
+    """Evidence as client views show it: page 1, method AI_NER and confidence 0.95 where
+    none is given.  For display; what is stored stays as it is."""
+    return graph.evidence.withColumn("page_number", F.coalesce("page_number", F.lit(1))).withColumn("extraction_method", F.coalesce("extraction_method", F.lit("AI_NER"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.95)))

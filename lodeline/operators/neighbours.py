@@ -65,6 +65,17 @@ def details(graph: EvidenceGraph, entity_id: str) -> DataFrame:
     return out.select("id", "entity_type", "label", F.coalesce("n_relationships", F.lit(0)).alias("n_relationships"), F.coalesce("case_ids", none).alias("case_ids"), F.array_sort(F.array_union("given", F.coalesce("found", none))).alias("evidence_ids"))
 
 
+def relationship_list(graph: EvidenceGraph, entity_id: str) -> DataFrame:
+    """The relationships of an entity: rel_id, relationship, direction (OUT, IN), the
+    neighbour's id, type and label, confidence and evidence ids; an unknown neighbour is
+    shown by its id."""
+    r = graph.relationships.where((F.col("source_id") == entity_id) | (F.col("target_id") == entity_id))
+    out = F.col("source_id") == entity_id
+    r = r.select(F.col("id").alias("rel_id"), "relationship", F.when(out, "OUT").otherwise("IN").alias("direction"), F.when(out, F.col("target_id")).otherwise(F.col("source_id")).alias("neighbor_id"), "confidence", "evidence_ids")
+    n = graph.entities.select(F.col("id").alias("neighbor_id"), F.col("entity_type").alias("neighbor_type"), label().alias("shown"))
+    return r.join(n, "neighbor_id", "left").select("rel_id", "relationship", "direction", "neighbor_id", "neighbor_type", F.coalesce("shown", "neighbor_id").alias("neighbor_label"), "confidence", "evidence_ids")
+
+
 def entity_evidence(graph: EvidenceGraph, entity_id: str) -> DataFrame:
     ids = graph.edges().where(F.col("src") == entity_id).select(F.explode("evidence_ids").alias("evidence_id")).distinct()
     given = graph.entities.where(F.col("id") == entity_id).select(F.explode("source_ids").alias("evidence_id"))

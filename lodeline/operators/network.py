@@ -91,6 +91,68 @@ def review_priority(graph: EvidenceGraph) -> DataFrame:
     return d.select("id", score.alias("priority"), F.when(score >= 75, "HIGH").when(score >= 50, "MODERATE").otherwise("LOW").alias("level"))
 
 
+#: What influence is made of, and the part of each.
+INFLUENCE = {"degree": 0.5, "n_cases": 0.3, "n_evidence": 0.2}
+
+
+def influence(graph: EvidenceGraph, entity_type: str | None = None, case_id: str | None = None, role: str | None = None, cross_case: bool | None = None, top: int = 50) -> DataFrame:
+    """rank, id, entity_type, label, degree, n_cases, n_evidence, influence, role of the
+    first `top` entities under the filters, cases and events left out.  Influence is
+    0.5 degree, 0.3 adjacent cases and 0.2 records of evidence, each over the greatest
+    of all entities, so a filter doesn't change an entity's influence."""
+    e = graph.entities.where("entity_type not in ('CASE', 'EVENT')").select("id", "entity_type", label().alias("label"))
+    near = checkpointed(adjacent_cases(graph))
+    cases = near.groupBy("id").agg(F.count(F.lit(1)).alias("n_cases"))
+    rests = graph.edges().select(F.col("src").alias("id"), F.explode("evidence_ids").alias("v")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_evidence"))
+    d = e.join(degree(graph), "id").join(cases, "id", "left").join(rests, "id", "left").fillna(0, ["n_cases", "n_evidence"])
+    d = checkpointed(d)
+    most = d.agg(*[F.max(c).alias(c) for c in INFLUENCE]).first()
+    score = sum((part * F.coalesce(F.try_divide(F.col(c), F.lit(most[c])), F.lit(0.0)) for c, part in INFLUENCE.items()), F.lit(0.0))
+    named = F.when(F.col("n_cases") >= 2, "CROSS_CASE_INFLUENCER").when(F.col("degree") >= 3, "CORE_HUB").otherwise("BRIDGE_ENTITY")
+    d = d.withColumn("influence", F.round(score, 4)).withColumn("role", named)
+    if entity_type:
+        d = d.where(F.col("entity_type") == entity_type.upper())
+    if case_id:
+        d = d.join(near.where(F.col("case_id") == case_id).select("id"), "id", "left_semi")
+    if role:
+        d = d.where(F.col("role") == role.upper())
+    if cross_case is not None:
+        d = d.where((F.col("n_cases") >= 2) == F.lit(cross_case))
+    first = d.orderBy(F.desc("influence"), "id").limit(top)  # a list of that length, numbered in one task
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("influence"), "id"))).select("rank", "id", "entity_type", "label", "degree", "n_cases", "n_evidence", "influence", "role")
+
+
+#: Signals of review priority: the value from which one counts in full, and its points.
+SIGNALS = {"degree": (50.0, 40.0), "cross_case_links": (10.0, 40.0), "confidence": (1.0, 20.0)}
+
+
+def priority_signals(graph: EvidenceGraph) -> DataFrame:
+    """id, signal, value, weight, points: what review_priority adds up, one row for each
+    person and signal; its features are the values."""
+    e = graph.entities.where("entity_type = 'PERSON'").select("id", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    near = adjacent_cases(graph).groupBy("id").agg(F.count(F.lit(1)).alias("cross_case_links"))
+    d = e.join(degree(graph), "id", "left").join(near, "id", "left").fillna(0, ["degree", "cross_case_links"])
+    row = lambda s: F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("value"), F.lit(SIGNALS[s][1]).alias("weight"), F.round(F.least(F.col(s) / SIGNALS[s][0], F.lit(1.0)) * SIGNALS[s][1], 2).alias("points"))
+    return d.select("id", F.explode(F.array(*[row(s) for s in SIGNALS])).alias("s")).select("id", "s.*")
+
+
+def shared_members(graph: EvidenceGraph) -> DataFrame:
+    """id, n_cases: entities in the subgraphs of two cases and more, next to one or not."""
+    from .neighbours import case_membership
+
+    kinds = graph.entities.where("entity_type <> 'CASE'").select("id")
+    return case_membership(graph).join(kinds, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_cases")).where("n_cases >= 2")
+
+
+def overview(graph: EvidenceGraph, findings: DataFrame) -> DataFrame:
+    """The dashboard's row with, from findings (as envelope.all_patterns gives them), how
+    many patterns and anomalies there are, and key entities and cross-case links."""
+    k = lambda df: df.withColumn("k", F.lit(1))
+    seen = findings.agg(F.count(F.lit(1)).alias("patterns"), F.count_if(F.col("pattern_type") == "ENTITY_ACTIVITY_ANOMALY").alias("anomalies"))
+    marked = badges(graph).agg(F.count(F.lit(1)).alias("key_entities"), F.count_if("is_bridge").alias("cross_case_links"))
+    return k(dashboard(graph)).join(k(seen), "k").join(k(marked), "k").drop("k")
+
+
 def shared_entities(graph: EvidenceGraph) -> DataFrame:
     """id, n_cases: entities next to two cases and more."""
     return adjacent_cases(graph).groupBy("id").agg(F.count(F.lit(1)).alias("n_cases")).where("n_cases >= 2")
@@ -105,4 +167,4 @@ def dashboard(graph: EvidenceGraph) -> DataFrame:
     return k(e).join(k(r), "k").join(k(v), "k").drop("k")
 
 
-__all__ = ["badges", "communities", "community_members", "components", "dashboard", "density", "graph_density", "key_players", "review_priority", "score_tier", "shared_entities"]
+__all__ = ["badges", "communities", "community_members", "components", "dashboard", "density", "graph_density", "influence", "key_players", "overview", "priority_signals", "review_priority", "score_tier", "shared_entities", "shared_members"]

@@ -8,13 +8,12 @@ so a search reads the buckets of the chosen trigrams and nothing else.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import checkpointed, delete_at_exit, shared_folder
+from ..graph import bucketed, checkpointed
 from .lookup import SEARCHED
 
 GRAM = 3
@@ -43,16 +42,10 @@ def texts_of(df: DataFrame, key: str = "id", columns: tuple[str, ...] = SEARCHED
 
 def index(texts: DataFrame, buckets: int = BUCKETS) -> Postings:
     """texts(id, text) -> their postings, written once in the shared folder."""
-    spark = texts.sparkSession
     kept = checkpointed(texts.select("id", "text"))
     runs = F.sequence(F.lit(1), F.length("text") - GRAM + 1)
     lists = kept.where(F.length("text") >= GRAM).select(F.explode(F.transform(runs, lambda i: F.col("text").substr(i, F.lit(GRAM)))).alias("gram"), "id").distinct()
-    name = f"postings_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/{name}"
-    lists.repartition(buckets, "gram").write.option("path", path).bucketBy(buckets, "gram").sortBy("gram").saveAsTable(name)
-    delete_at_exit(spark, path)
-    stored = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
+    stored = bucketed(lists, "gram", buckets)
     return Postings(kept, stored, checkpointed(stored.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))))
 
 

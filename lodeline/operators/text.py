@@ -31,21 +31,28 @@ def uses_relations(docs: DataFrame) -> DataFrame:
 
 
 def _entities(distinct_persons: bool) -> Column:
-    persons = F.array_distinct(X.persons("text")) if distinct_persons else X.persons("text")
-    kinds = [("PHONE", F.array_distinct(X.found("text", X.PHONE_BOUND)), 0.96), ("VEHICLE", F.array_distinct(X.plates("text")), 0.94), ("PERSON", persons, 0.95)]
-    return F.flatten(F.array(*[_marked(v, k, c) for k, v, c in kinds]))
+    persons = F.array_distinct(X.persons_given("text")) if distinct_persons else X.persons_given("text")
+    plain = lambda values: F.transform(values, lambda m: F.struct(m.alias("value"), F.lit(None).cast("string").alias("given")))
+
+    def marked(values: Column, kind: str, confidence: float) -> Column:
+        return F.transform(values, lambda m: F.struct(F.lit(kind).alias("kind"), m["value"].alias("value"), F.lit(confidence).alias("confidence"), m["given"].alias("given")))
+
+    phones, plates = F.array_distinct(X.found("text", X.PHONE_BOUND)), F.array_distinct(X.found("text", X.PLATE_BOUND))
+    return F.flatten(F.array(marked(plain(phones), "PHONE", 0.96), marked(plain(plates), "VEHICLE", 0.94), marked(persons, "PERSON", 0.95)))
 
 
 def document_entities(docs: DataFrame, distinct_persons: bool = False) -> DataFrame:
-    """doc_id, entity_id, kind, value, confidence.  Nothing is made up for a document without mentions."""
+    """doc_id, kind, value, confidence, entity_id: of a person the id that the document
+    gives in brackets, else one made from kind and value.  Nothing is made up for a
+    document without mentions."""
     out = docs.select("doc_id", F.explode(_entities(distinct_persons)).alias("m")).select("doc_id", "m.*")
-    return out.withColumn("entity_id", X.mention_id(F.col("kind"), F.col("value")))
+    return out.withColumn("entity_id", F.coalesce("given", X.mention_id(F.col("kind"), F.col("value")))).drop("given")
 
 
 def document_relations(docs: DataFrame) -> DataFrame:
     """Every person of a document with each of its plates (USED) and phones (USES)."""
     d = document_entities(docs, True)
-    p = d.where("kind = 'PERSON'").select("doc_id", F.col("value").alias("person"))
+    p = d.where("kind = 'PERSON'").select("doc_id", F.col("value").alias("person")).distinct()
     r = d.where("kind <> 'PERSON'").select("doc_id", F.col("value").alias("resource"), "kind")
     vehicle = F.col("kind") == "VEHICLE"
     return p.join(r, "doc_id").select("doc_id", "person", "resource", F.when(vehicle, "USED").otherwise("USES").alias("relationship"), F.when(vehicle, 0.92).otherwise(0.93).alias("confidence"))

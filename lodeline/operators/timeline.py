@@ -36,6 +36,23 @@ def all_events(graph: EvidenceGraph, event_type: str | None = None, keyword: str
     return e.orderBy(F.col("timestamp").asc_nulls_last(), "id")
 
 
+def narrowed(graph: EvidenceGraph, events: DataFrame, case_id: str | None = None, method: str | None = None, correlated: DataFrame | None = None, status: str | None = None) -> DataFrame:
+    """Events (as all_events gives them) of a case's timeline, with evidence by a method,
+    and with a status among correlations(first_event, second_event, status); ALL or None
+    stands for any.  Dated ones first."""
+    any_ = lambda v: v is None or v.upper() == "ALL"
+    if not any_(case_id):
+        events = events.join(case_timeline(graph, case_id).select("id"), "id", "left_semi").select(_SHOWN)
+    if not any_(method):
+        by = graph.evidence.where(F.upper("extraction_method") == method.upper()).select("evidence_id")
+        own = graph.edges(known=False).select(F.col("src").alias("id"), F.explode("evidence_ids").alias("evidence_id")).join(by, "evidence_id", "left_semi").select("id")
+        events = events.join(own, "id", "left_semi").select(_SHOWN)
+    if not any_(status) and correlated is not None:
+        held = correlated.where(F.col("status") == status.upper()).select(F.explode(F.array("first_event", "second_event")).alias("id"))
+        events = events.join(held, "id", "left_semi").select(_SHOWN)
+    return events.orderBy(F.col("timestamp").asc_nulls_last(), "id")
+
+
 def normalized(events: DataFrame) -> DataFrame:
     """Events of client feeds: type or event_type, a title and a place for those without."""
     have = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")

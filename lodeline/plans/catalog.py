@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..functions import scalar as S
-from ..graph import EvidenceGraph, checkpointed, delete_at_exit, shared_folder
-from ..operators import access, clusters, findings, ingest, lookup, mutate, names, neighbours, network, paths, patterns, postings, report, resolve, routes, stats, text, timeline, validate
+from ..graph import EvidenceGraph, delete_at_exit, shared_folder
+from ..operators import access, clusters, envelope, findings, ingest, lookup, mutate, names, neighbours, network, paths, patterns, postings, report, resolve, routes, stats, text, timeline, validate
 from ..sources import files, records, testdata, versions
 from . import planner
 
@@ -209,7 +209,7 @@ def _routes(g: EvidenceGraph) -> DataFrame:
 def _best_routes(g: EvidenceGraph, by: str = "hops") -> DataFrame:
     """The best from one case to each other, by a search that lists no others."""
     ids = g.entities.where("entity_type = 'CASE'").select("id")
-    found = routes.search(checkpointed(routes.links(g.only(*ROUTES))), ids.where("id = 'CASE_1'"), ids.where("id <> 'CASE_1'"), 4, by)
+    found = routes.search(routes.staged(routes.links(g.only(*ROUTES))), ids.where("id = 'CASE_1'"), ids.where("id <> 'CASE_1'"), 4, by)
     return found.withColumn("hop_count", F.col("hop_count").cast("long"))
 
 
@@ -314,6 +314,7 @@ _SAMPLES = [
     (-1, "Suspect Rahul Kumar uses 9876543210\nand was seen with MH 12 AB 1234 near Crime Branch."),
     (-2, "CASE-101: Priya Sharma operated +91-9123456780\nVikram Singh Rathore drove KA-01-M-4321 (FIR 204)"),
     (-3, ""),
+    (-4, "Aarav Verma (PERSON_017) and Aarav Verma drove MH-01-AB-1234, not XMH-02-AB-1234 or MH-03-AB-12345; Neha Rao (PERSON_x) called 9123456780."),
 ]
 
 
@@ -342,17 +343,19 @@ def _(spark, sf):
 
 
 _MENTIONS = _DOCS + f""", m AS MATERIALIZED (SELECT DISTINCT doc_id, 'PHONE' AS kind, unnest(regexp_extract_all(text, '{X.PHONE_BOUND}')) AS value, CAST(0.96 AS DOUBLE) AS confidence FROM docs
-  UNION ALL SELECT DISTINCT doc_id, 'VEHICLE', unnest(regexp_extract_all(text, '{X.PLATE}')), 0.94 FROM docs
-  UNION ALL SELECT {{d}} doc_id, 'PERSON', unnest(regexp_extract_all(text, '{X.PERSON}')), 0.95 FROM docs)
+  UNION ALL SELECT DISTINCT doc_id, 'VEHICLE', unnest(regexp_extract_all(text, '{X.PLATE_BOUND}')), 0.94 FROM docs
+  UNION ALL SELECT {{d}} doc_id, 'PERSON', unnest(regexp_extract_all(text, '{X.PERSON_GIVEN}')), 0.95 FROM docs)
 """
 
 
-@_add("extract_document_entities", _MENTIONS.replace("{d}", "") + "SELECT doc_id, kind || '_' || substr(sha256(value), 1, 12) AS entity_id, kind, value, confidence FROM m", graph=False)
+@_add("extract_document_entities", _MENTIONS.replace("{d}", "") + f"""SELECT doc_id, coalesce(nullif(regexp_extract(raw, '\\((PERSON_[0-9]+)\\)$', 1), ''), kind || '_' || substr(sha256(value), 1, 12)) AS entity_id, kind, value, confidence
+FROM (SELECT doc_id, kind, value AS raw, CASE WHEN kind = 'PERSON' THEN regexp_extract(value, '{X.PERSON}') ELSE value END AS value, confidence FROM m)""", graph=False)
 def _(spark, sf):
     return text.document_entities(_docs(spark, sf))
 
 
-@_add("extract_document_relations", _MENTIONS.replace("{d}", "DISTINCT") + "SELECT p.doc_id, p.value AS person, r.value AS resource, CASE r.kind WHEN 'VEHICLE' THEN 'USED' ELSE 'USES' END AS relationship, CAST(CASE r.kind WHEN 'VEHICLE' THEN 0.92 ELSE 0.93 END AS DOUBLE) AS confidence FROM m p JOIN m r ON r.doc_id = p.doc_id WHERE p.kind = 'PERSON' AND r.kind <> 'PERSON'", graph=False)
+@_add("extract_document_relations", _MENTIONS.replace("{d}", "DISTINCT") + f"""SELECT p.doc_id, p.person, r.value AS resource, CASE r.kind WHEN 'VEHICLE' THEN 'USED' ELSE 'USES' END AS relationship, CAST(CASE r.kind WHEN 'VEHICLE' THEN 0.92 ELSE 0.93 END AS DOUBLE) AS confidence
+FROM (SELECT DISTINCT doc_id, regexp_extract(value, '{X.PERSON}') AS person FROM m WHERE kind = 'PERSON') p JOIN m r ON r.doc_id = p.doc_id WHERE r.kind <> 'PERSON'""", graph=False)
 def _(spark, sf):
     return text.document_relations(_docs(spark, sf))
 
@@ -527,6 +530,33 @@ def _(g, spark, sf):
     return patterns.filtered(found, "MEDIUM", "_1", 0.5, ("id",)).select("id", "severity")
 
 
+@_add("client_search", " SELECT id FROM ent WHERE entity_type = 'PERSON' AND (contains(lower(concat_ws('|', id, name)), 'machinery') OR contains(lower(description), 'machinery'))")
+def _(g, spark, sf):
+    return lookup.client_search(g, "Machinery", "person").select("id")
+
+
+@_add("case_detail", f" SELECT id, title, status, priority, incident_date FROM ent WHERE id = {CASE_SQL}")
+def _(g, spark, sf):
+    return lookup.case_detail(g, _case(spark, sf)).select("id", "title", "status", "priority", "incident_date")
+
+
+@_add("edges_shown", _DEG + " SELECT id, relationship, source_id IN (SELECT id FROM nc WHERE n_cases >= 2) OR target_id IN (SELECT id FROM nc WHERE n_cases >= 2) AS cross_case FROM rel")
+def _(g, spark, sf):
+    return lookup.shown_edges(g, supported_only=True).select("id", "relationship", "cross_case")
+
+
+@_add("relationship_list", f" SELECT rel.id AS rel_id, relationship, CASE WHEN source_id = 'PERSON_5' THEN 'OUT' ELSE 'IN' END AS direction, x.id AS neighbor_id, x.entity_type AS neighbor_type, coalesce(x.name, x.title, x.phone_number, x.id) AS neighbor_label, confidence FROM rel JOIN ent x ON x.id = CASE WHEN source_id = 'PERSON_5' THEN target_id ELSE source_id END WHERE source_id = 'PERSON_5' OR target_id = 'PERSON_5'")
+def _(g, spark, sf):
+    return neighbours.relationship_list(g, PERSON).drop("evidence_ids")
+
+
+@_add("timeline_narrowed", _INV + " SELECT DISTINCT e.id, e.event_type, e.ts AS timestamp FROM ent e JOIN (SELECT a.event_id AS x, b.event_id AS y FROM i a JOIN i b ON a.entity_id = b.entity_id AND a.event_type <> b.event_type AND (b.s > a.s OR b.s = a.s AND a.event_id < b.event_id) AND b.s - a.s <= 900 AND a.s <> b.s) k ON e.id IN (k.x, k.y) WHERE e.entity_type = 'EVENT'")
+def _(g, spark, sf):
+    """Events with a potential correlation, by records of links."""
+    found = timeline.narrowed(g, timeline.all_events(g), "ALL", "record_link", timeline.correlations(g, 900), "potential_correlation")
+    return found.select("id", "event_type", "timestamp")
+
+
 # ---- network
 
 
@@ -657,9 +687,101 @@ def _(spark, sf):
     return stats.trends(joined.groupBy(F.col("n_name").alias("area"), F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))).withColumn("rank", F.col("rank").cast("long")).withColumn("year", F.col("year").cast("long"))
 
 
+_FINDINGS = _DEG + _INV + _CLASSES.rstrip() + """,
+x1 AS (SELECT u.src AS id, count(DISTINCT u.dst) AS n, min(confidence) AS c FROM und u JOIN ent e ON e.id = u.dst AND e.entity_type = 'CASE' GROUP BY 1 HAVING count(DISTINCT u.dst) >= 2),
+x3 AS (SELECT entity_id, max(n) AS n FROM (SELECT entity_id, count(*) OVER (PARTITION BY entity_id ORDER BY s RANGE BETWEEN 54000 PRECEDING AND CURRENT ROW) AS n FROM i) WHERE n >= 3 GROUP BY 1),
+x4 AS (SELECT entity_id, event_type, max(n) AS n FROM (SELECT entity_id, event_type, count(*) OVER (PARTITION BY entity_id, event_type ORDER BY s RANGE BETWEEN 172800 PRECEDING AND CURRENT ROW) AS n FROM i) GROUP BY 1, 2 HAVING max(n) >= 2),
+ad AS (SELECT entity_id, strftime(to_timestamp(s) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS n FROM i GROUP BY 1, 2),
+aw AS (SELECT *, avg(n) OVER x AS mean, stddev_pop(n) OVER x AS sd FROM ad WINDOW x AS (PARTITION BY entity_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+x5 AS (SELECT entity_id, day, n, round(least(1.0, z / 10), 3) AS score FROM (SELECT *, round((n - mean) / sd, 4) AS z FROM aw WHERE sd > 0) WHERE z >= 2),
+x6 AS (SELECT entity_id, count(DISTINCT doc) AS n FROM (SELECT source_id AS entity_id, doc FROM rel UNION ALL SELECT target_id, doc FROM rel) GROUP BY 1 HAVING count(DISTINCT doc) >= 2),
+f AS (SELECT 'CROSS_CASE_BRIDGE' AS t, id AS key, id AS e, n || ' cases' AS o, 'next to ' || n || ' cases' AS p, n / CAST(10 AS DOUBLE) AS s, c AS confidence FROM x1
+  UNION ALL SELECT 'HIGH_CONNECTIVITY_HUB', e.id, e.id, degree || ' links', 'degree of at least 60', degree / CAST(100 AS DOUBLE), 1.0 FROM deg JOIN ent e ON e.id = deg.id WHERE entity_type <> 'CASE' AND degree >= 60
+  UNION ALL SELECT 'TEMPORAL_CLUSTER', entity_id, entity_id, n || ' events', 'up to ' || n || ' events within 15 hours', n / CAST(10 AS DOUBLE), 1.0 FROM x3
+  UNION ALL SELECT 'REPEATED_CONTACT_PATTERN', entity_id || ':' || event_type, entity_id, n || ' events of kind ' || event_type, 'up to ' || n || ' within 48 hours', n / CAST(10 AS DOUBLE), 1.0 FROM x4
+  UNION ALL SELECT 'ENTITY_ACTIVITY_ANOMALY', entity_id || ':' || day, entity_id, n || ' events on ' || day, 'more than on the 7 days with events before', score, 1.0 FROM x5
+  UNION ALL SELECT 'MULTI_SOURCE_CORROBORATION', entity_id, entity_id, n || ' documents', 'in ' || n || ' documents by 1 methods', n / CAST(100 AS DOUBLE), 1.0 FROM x6
+  UNION ALL SELECT 'UNUSUAL_PATH_PATTERN', first_class || '~' || second_class || '~' || via, via, case_pairs || ' pairs of cases', 'linked over ' || hop_count || ' steps', hop_count / CAST(10 AS DOUBLE), confidence FROM bridge WHERE hop_count >= 4),
+findings AS (SELECT t || ':' || key AS pattern_id, t AS pattern_type, e AS entity_id, o AS observed_data, p AS computed_pattern, round(least(CAST(1.0 AS DOUBLE), s), 4) AS anomaly_score,
+  CASE WHEN round(least(CAST(1.0 AS DOUBLE), s), 4) >= 0.8 THEN 'HIGH' WHEN round(least(CAST(1.0 AS DOUBLE), s), 4) >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CAST(confidence AS DOUBLE) AS confidence FROM f)
+"""
+
+
+@_add("pattern_findings", _FINDINGS + "SELECT * FROM findings")
+def _(g, spark, sf):
+    return envelope.all_patterns(g, g.only(*ROUTES)).drop("investigative_lead", "disclaimer")
+
+
+@_add("pattern_findings_of_case", _FINDINGS + f"""SELECT pattern_id, severity FROM findings WHERE severity <> 'LOW' AND confidence >= 0.65 AND entity_id IN (SELECT {CASE_SQL} UNION ALL SELECT dst FROM und WHERE src = {CASE_SQL}
+  UNION ALL SELECT u.dst FROM und u JOIN ent e ON e.id = u.dst AND e.entity_type <> 'CASE' WHERE u.src IN (SELECT dst FROM und WHERE src = {CASE_SQL}))""")
+def _(g, spark, sf):
+    found = envelope.all_patterns(g, g.only(*ROUTES))
+    return envelope.narrowed(found, g, _case(spark, sf), min_confidence=0.65, least="medium").select("pattern_id", "severity")
+
+
+@_add("overview", _FINDINGS + """SELECT (SELECT count(*) FROM ent WHERE entity_type = 'CASE') AS cases, (SELECT count(*) FROM ent WHERE entity_type = 'CASE' AND status = 'ACTIVE') AS active_cases, (SELECT count(*) FROM ent WHERE priority IN ('1-URGENT', '2-HIGH')) AS high_priority,
+  (SELECT count(*) FROM ent WHERE entity_type = 'PERSON') AS persons, (SELECT count(*) FROM rel) AS links, (SELECT count(*) FROM rel) AS evidence, (SELECT count(*) FROM findings) AS patterns, (SELECT count(*) FROM findings WHERE pattern_type = 'ENTITY_ACTIVITY_ANOMALY') AS anomalies,
+  (SELECT count(*) FROM deg LEFT JOIN nc ON nc.id = deg.id WHERE coalesce(n_cases, 0) > 1 OR degree >= 3) AS key_entities, (SELECT count(*) FROM nc WHERE n_cases > 1) AS cross_case_links""")
+def _(g, spark, sf):
+    return network.overview(g, envelope.all_patterns(g, g.only(*ROUTES)))
+
+
+_INFLUENCE = _DEG + f""", ne AS (SELECT src AS id, count(DISTINCT evid) AS n_evidence FROM und GROUP BY 1),
+d AS (SELECT e.id, entity_type, {LABEL.replace("id)", "e.id)")} AS label, degree, coalesce(n_cases, 0) AS n_cases, coalesce(n_evidence, 0) AS n_evidence FROM ent e JOIN deg ON deg.id = e.id LEFT JOIN nc ON nc.id = e.id LEFT JOIN ne ON ne.id = e.id WHERE entity_type NOT IN ('CASE', 'EVENT')),
+s AS (SELECT *, round(CAST(0.5 AS DOUBLE) * degree / max(degree) OVER () + CAST(0.3 AS DOUBLE) * coalesce(n_cases / nullif(max(n_cases) OVER (), 0), 0) + CAST(0.2 AS DOUBLE) * coalesce(n_evidence / nullif(max(n_evidence) OVER (), 0), 0), 4) AS influence,
+  CASE WHEN n_cases >= 2 THEN 'CROSS_CASE_INFLUENCER' WHEN degree >= 3 THEN 'CORE_HUB' ELSE 'BRIDGE_ENTITY' END AS role FROM d)
+"""
+
+
+@_add("influence", _INFLUENCE + "SELECT row_number() OVER (ORDER BY influence DESC, id) AS rank, * FROM s ORDER BY influence DESC, id LIMIT 50")
+def _(g, spark, sf):
+    return network.influence(g).withColumn("rank", F.col("rank").cast("long"))
+
+
+@_add("influence_filtered", _INFLUENCE + "SELECT row_number() OVER (ORDER BY influence DESC, id) AS rank, id, influence FROM s WHERE role = 'CORE_HUB' AND entity_type = 'PHONE' AND n_cases < 2 ORDER BY influence DESC, id LIMIT 20")
+def _(g, spark, sf):
+    return network.influence(g, "phone", role="core_hub", cross_case=False, top=20).select(F.col("rank").cast("long").alias("rank"), "id", "influence")
+
+
+@_add("priority_signals", _DEG + """, p AS (SELECT e.id, CAST(coalesce(degree, 0) AS DOUBLE) AS degree, CAST(coalesce(n_cases, 0) AS DOUBLE) AS n FROM ent e LEFT JOIN deg ON deg.id = e.id LEFT JOIN nc ON nc.id = e.id WHERE entity_type = 'PERSON')
+SELECT id, 'degree' AS signal, degree AS value, CAST(40.0 AS DOUBLE) AS weight, round(least(degree / 50, 1.0) * 40, 2) AS points FROM p UNION ALL SELECT id, 'cross_case_links', n, 40.0, round(least(n / 10, 1.0) * 40, 2) FROM p UNION ALL SELECT id, 'confidence', 1.0, 20.0, 20.0 FROM p""")
+def _(g, spark, sf):
+    return network.priority_signals(g)
+
+
+@_add("shared_by_membership", """, n1 AS (SELECT DISTINCT src AS case_id, dst AS id FROM und WHERE starts_with(src, 'CASE_')),
+m AS (SELECT case_id, id FROM n1 UNION SELECT n1.case_id, u.dst FROM n1 JOIN und u ON u.src = n1.id) SELECT id, count(*) AS n_cases FROM m WHERE NOT starts_with(id, 'CASE_') GROUP BY 1 HAVING count(*) >= 2""")
+def _(g, spark, sf):
+    return network.shared_members(g)
+
+
 # ---- reports and exports
 
 
+@_add("report_detailed", _PATHS + f""", near AS (SELECT * FROM und WHERE src = 'CASE_1'), b AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY hop_count, confidence DESC, path) AS k FROM p)
+SELECT '1_LINKS' AS section, rel_id AS key, coalesce(name, title, phone_number, ent.id) || ' (' || dst || ', ' || entity_type || ') by ' || relationship || ', confidence ' || printf('%.2f', confidence) AS line FROM near JOIN ent ON ent.id = dst
+UNION ALL SELECT '2_CROSS_CASE', target_id, path || ', confidence ' || printf('%.2f', confidence) FROM b WHERE k = 1
+UNION ALL SELECT '3_EVIDENCE', r.evid, r.doc || ' p. ' || r.n || ', RECORD_LINK, ' || printf('%.2f', r.confidence) || ' ' || CASE WHEN r.confidence >= 0.9 THEN 'High' WHEN r.confidence >= 0.7 THEN 'Medium' ELSE 'Low' END || ': Record of ' || r.id FROM rel r JOIN near ON near.rel_id = r.id
+UNION ALL SELECT DISTINCT '4_TIMELINE', e.id, coalesce(e.ts, 'undated') || ' ' || e.event_type FROM und u JOIN ent e ON e.id = u.dst AND e.entity_type = 'EVENT' WHERE u.src IN (SELECT dst FROM near)
+UNION ALL SELECT '5_LIMITS', 'CASE_1', '{report.DISCLAIMER}'""")
+def _(g, spark, sf):
+    return report.detailed(g, "CASE_1", g.only(*ROUTES))
+
+
+@_add("question_answers", """ SELECT 'SUSPECT_DISCOVERY' AS intent, src AS id FROM und WHERE dst = 'CASE_1' AND starts_with(src, 'PERSON_') UNION ALL SELECT DISTINCT 'COMMUNICATIONS_INTELLIGENCE', dst FROM und WHERE src = 'PERSON_5' AND starts_with(dst, 'PHONE_')
+UNION ALL SELECT 'ENTITY_CONNECTIONS', dst FROM und WHERE src = 'PERSON_5' UNION ALL SELECT DISTINCT 'ENTITY_CASES', dst FROM und WHERE src = 'PERSON_5' AND starts_with(dst, 'CASE_') UNION ALL SELECT DISTINCT 'CASE_SUMMARY', entity_type FROM ent WHERE id IN (SELECT 'CASE_1' UNION ALL SELECT dst FROM und WHERE src = 'CASE_1' UNION ALL SELECT u.dst FROM und u WHERE u.src IN (SELECT dst FROM und WHERE src = 'CASE_1') AND NOT starts_with(u.dst, 'CASE_'))""")
+def _(g, spark, sf):
+    """The rows of answers, over the whole graph: no vehicles or accounts are in it, so those answers are empty."""
+    policy = spark.createDataFrame([("bob", "ALL")], "username string, case_id string")
+    asked = [("Who are the suspects in case 1?", None, "id"), ("Which phones does this person use?", "PERSON_5", "id"), ("What is linked to this person?", "PERSON_5", "neighbor_id"), ("Which cases is this person in?", "PERSON_5", "case_id"), ("Summarize case 1", None, "entity_type"), ("Which vehicles are in case 1?", None, "id"), ("Which bank accounts are in case 1?", None, "id")]
+    out = None
+    for question, entity, column in asked:
+        p, rows = planner.answer(g, question, policy, "bob", entity_id=entity)
+        one = rows.select(F.lit(p.intent).alias("intent"), F.col(column).alias("id"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 @_add("report_sections", _SUB + f" SELECT entity_type AS section, count(*) AS n, string_agg({LABEL}, ', ' ORDER BY {LABEL}) AS items FROM ent WHERE id IN (SELECT id FROM cn) GROUP BY 1")
 def _(g, spark, sf):
     return report.sections(g, _case(spark, sf))
@@ -758,7 +880,8 @@ def _(spark, sf):
     return spark.createDataFrame(said, "username string, intent string")
 
 
-@_add("question_shared_entities", ", c AS (SELECT u.src AS id, count(DISTINCT u.dst) AS n_cases FROM und u WHERE u.dst IN ('CASE_1', 'CASE_2', 'CASE_3') GROUP BY 1) SELECT id, n_cases FROM c WHERE n_cases >= 2")
+@_add("question_shared_entities", """, n1 AS (SELECT DISTINCT src AS case_id, dst AS id FROM und WHERE src IN ('CASE_1', 'CASE_2', 'CASE_3')), m AS (SELECT case_id, id FROM n1 UNION SELECT n1.case_id, u.dst FROM n1 JOIN und u ON u.src = n1.id)
+SELECT id, count(*) AS n_cases FROM m WHERE NOT starts_with(id, 'CASE_') GROUP BY 1 HAVING count(*) >= 2""")
 def _(g, spark, sf):
     """Over what the asker may see alone."""
     policy = spark.createDataFrame([("ann", c) for c in ("CASE_1", "CASE_2", "CASE_3")], "username string, case_id string")

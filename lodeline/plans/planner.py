@@ -3,15 +3,22 @@ tried in order on whole words."""
 
 from __future__ import annotations
 
+import logging
 import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import EvidenceGraph
 from ..operators import access, network, neighbours, paths, resolve, timeline
 
+log = logging.getLogger(__name__)
+#: What an operator fails with when its data or the cluster do, not its code.
+FAILURES = (PySparkException, Py4JError, paths.UnknownEntity)
+
 
 @dataclass(frozen=True)
 class Plan:
@@ -72,15 +79,19 @@ def checked(graph: EvidenceGraph, p: Plan) -> Plan:
 
 def answer(graph: EvidenceGraph, question: str, policy: DataFrame, user: str, case_id: str | None = None, entity_id: str | None = None) -> tuple[Plan, DataFrame]:
     """Plans and runs a question over what the user may see, and no more: hidden cases
-    are taken out before any operator runs.  An operator that fails gives
-    PROVIDER_FAILURE and no rows; the plan's confidence is then 0."""
+    are taken out before any operator runs.  The answer is worked out here and kept
+    (unpersist it when done), so whatever Spark fails at, early or late, is logged and
+    gives PROVIDER_FAILURE, no rows and a confidence of 0.  Other errors are raised."""
     own = [r["case_id"] for r in policy.where(F.col("username") == user).select("case_id").distinct().collect()]
     seen = access.visible(graph, policy, user)
     p = plan(question, case_id, entity_id, tuple(own))
     try:
         p = checked(seen, p)
-        return p, run(seen, p)
-    except Exception:  # whatever fails, the asker gets an answer of its kind and no detail
+        rows = run(seen, p).persist()
+        rows.count()
+        return p, rows
+    except FAILURES as failure:  # the asker gets no detail
+        log.warning("no answer to a question of intent %s: %s", p.intent, failure)
         return Plan("PROVIDER_FAILURE", p.case_ids, p.entity_ids, confidence=0.0), graph.entities.where(F.lit(False))
 
 
@@ -121,7 +132,7 @@ def run(graph: EvidenceGraph, p: Plan, max_depth: int = 4) -> DataFrame:
         case "IDENTITY_RESOLUTION":
             return resolve.candidates_additive(graph.entities.where("entity_type = 'PERSON'"))
         case "SHARED_ENTITIES":
-            return network.shared_entities(graph)
+            return network.shared_members(graph)
         case "COMMUNITY_DETECTION":
             return network.communities(graph)
         case "KEY_PLAYER_INTELLIGENCE":
