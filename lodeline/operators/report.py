@@ -28,8 +28,9 @@ def links(graph: EvidenceGraph, case_id: str) -> DataFrame:
 def structured(graph: EvidenceGraph, case_id: str) -> DataFrame:
     """One row: node, edge and evidence counts and density of a case's subgraph."""
     k = lambda df: df.withColumn("k", F.lit(1))
-    nodes = case_nodes(graph, case_id).agg(F.count(F.lit(1)).alias("node_count"))
-    e = case_edges(graph, case_id).agg(F.count(F.lit(1)).alias("edge_count"), F.round(F.min("confidence"), 2).alias("least_confidence"))
+    edges = case_edges(graph, case_id)
+    nodes = case_nodes(graph, case_id, edges).agg(F.count(F.lit(1)).alias("node_count"))
+    e = edges.agg(F.count(F.lit(1)).alias("edge_count"), F.round(F.min("confidence"), 2).alias("least_confidence"))
     d = F.when(F.col("node_count") < 2, 0.0).otherwise(2.0 * F.col("edge_count") / (F.col("node_count") * (F.col("node_count") - 1)))
     return k(nodes).join(k(e), "k").select(F.lit(case_id).alias("case_id"), "node_count", "edge_count", "least_confidence", F.round(d, 8).alias("density"), F.lit(DISCLAIMER).alias("limitations"))
 
@@ -60,9 +61,9 @@ def detailed(graph: EvidenceGraph, case_id: str, linked: EvidenceGraph | None =
     links_ = near.join(others, "dst").withColumn("key", F.col("rel_id"))
     out = _lines(links_, "1_LINKS", "key", F.concat("shown", F.lit(" ("), "dst", F.lit(", "), "kind", F.lit(") by "), "relationship", F.lit(", confidence "), _two("confidence")))
     cases = graph.entities.where("entity_type = 'CASE'").select("id")
-    found = routes.search(routes.staged(routes.links(linked or graph)), cases.where(F.col("id") == case_id), cases.where(F.col("id") != case_id), max_depth)
+    found = routes.search(routes.written(linked or graph), cases.where(F.col("id") == case_id), cases.where(F.col("id") != case_id), max_depth)
     out = out.union(_lines(found, "2_CROSS_CASE", "target_id", F.concat("path", F.lit(", confidence "), _two("confidence"))))
-    said = graph.evidence.join(near.select(F.explode("evidence_ids").alias("evidence_id")).distinct(), "evidence_id", "left_semi")
+    said = graph.evidence.join(checkpointed(near.select(F.explode("evidence_ids").alias("evidence_id")).distinct()), "evidence_id", "left_semi")
     place = F.concat(F.coalesce("source_document_id", F.lit("?")), F.lit(" p. "), F.coalesce("page_number", F.lit(1)).cast("string"), F.lit(", "), F.coalesce("extraction_method", F.lit("?")))
     out = out.union(_lines(said, "3_EVIDENCE", "evidence_id", F.concat(place, F.lit(", "), _two("confidence"), F.lit(" "), tier(F.coalesce("confidence", F.lit(1.0))), F.lit(": "), F.coalesce("source_text", F.lit("")))))
     events = case_timeline(graph, case_id)

@@ -152,3 +152,34 @@ def test_only_those_who_may_change():
     access.may_write("INVESTIGATOR")
     with pytest.raises(access.WriteDenied):
         access.may_write("read_only")
+
+
+def test_known_missing_ends_stand_for_a_search_for_them(g, spark):
+    """With missing() the edges are those that semi-joins with all entities leave."""
+    from lodeline.graph import EvidenceGraph
+
+    entities = g.entities.limit(8).cache()
+    entities.count()
+    ends = g.relationships.select(F.explode(F.array("source_id", "target_id")).alias("id"))
+    told = EvidenceGraph(entities, g.relationships, g.evidence, lambda: ends.join(entities.select("id"), "id", "left_anti"))
+    searched = EvidenceGraph(entities, g.relationships, g.evidence)
+    for direction in ("undirected", "outgoing"):
+        rows = lambda x: sorted(map(tuple, x.edges(direction).select("src", "dst", "rel_id").collect()))  # noqa: E731, B023
+        assert rows(told) == rows(searched)
+    assert g.edges().count() > told.edges().count()
+
+
+def test_subgraphs_are_told_by_classes_of_cases(spark):
+    """Two hundred cases of one person are one class: its subgraph is listed once."""
+    from test_routes import graph_of
+
+    edges = [("P1", f"C{i}", 1.0) for i in range(200)] + [("P1", f"X{i}", 1.0) for i in range(30)] + [("P1", "C_2", 1.0), ("P2", "C_2", 1.0), ("P2", "X1", 1.0)]
+    graph = graph_of(spark, edges, ["C_alone"], {**{f"C{i}": "CASE" for i in range(200)}, "C_2": "CASE", "C_alone": "CASE"})
+    _, nodes = neighbours.class_membership(graph)
+    assert nodes.count() == 31 + 32
+    sizes = {r["case_id"]: r["n_nodes"] for r in neighbours.case_sizes(graph).collect()}
+    assert sizes == {**{f"C{i}": 32 for i in range(200)}, "C_2": 33, "C_alone": 1}
+    members = neighbours.case_membership(graph).groupBy("case_id").count().collect()
+    assert {r["case_id"]: r["count"] for r in members} == sizes
+    shared = {r["id"]: r["n_cases"] for r in network.shared_members(graph).collect()}
+    assert shared == {"P1": 201, **{f"X{i}": 201 for i in range(30)}}
