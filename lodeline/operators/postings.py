@@ -25,7 +25,7 @@ RAREST = 3
 @dataclass(frozen=True)
 class Postings:
     """texts(id, text) with each text in small letters; lists(gram, id), bucketed by
-    gram; counts(gram, n)."""
+    gram, once for each text of the id that has it; counts(gram, n) of lists."""
 
     texts: DataFrame
     lists: DataFrame
@@ -44,7 +44,7 @@ def index(texts: DataFrame, buckets: int = BUCKETS) -> Postings:
     """texts(id, text) -> their postings, written once in the shared folder."""
     kept = checkpointed(texts.select("id", "text"))
     runs = F.sequence(F.lit(1), F.length("text") - GRAM + 1)
-    lists = kept.where(F.length("text") >= GRAM).select(F.explode(F.transform(runs, lambda i: F.col("text").substr(i, F.lit(GRAM)))).alias("gram"), "id").distinct()
+    lists = kept.where(F.length("text") >= GRAM).select(F.explode(F.array_distinct(F.transform(runs, lambda i: F.col("text").substr(i, F.lit(GRAM))))).alias("gram"), "id")
     stored = bucketed(lists, "gram", buckets)
     return Postings(kept, stored, checkpointed(stored.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))))
 
@@ -61,7 +61,7 @@ def candidates(postings: Postings, term: str, rarest: int = RAREST) -> DataFrame
         return postings.lists.select("id").limit(0)
     few = sorted(grams, key=lambda g: (known[g], g))[:rarest]
     held = postings.lists.where(F.col("gram").isin(few))
-    return held.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(few)).select("id")
+    return held.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(few)).select("id")
 
 
 def search(postings: Postings, term: str) -> DataFrame:
