@@ -176,3 +176,12 @@ def test_label_propagation(spark):
     assert {tuple(r) for r in clusters.shared_assets(g, labels).collect()} == {(label["B1"], "PHONE", 1)}
     with pytest.raises(KeyError):
         clusters.detail(clusters.members(g, labels=labels), "nothing")
+
+
+def test_rounds_deal_out_numbers_in_the_order_of_ids(spark):
+    g = graph_of(spark, [("B", "A", 0.9), ("C", "C", 0.9), ("B", "C", 0.9)], ["D"], {})
+    names = clusters._names(g)
+    assert [r["id"] for r in names.orderBy("n").collect()] == ["A", "B", "C", "D"]
+    ends = clusters._ends(clusters._linked(g, names))
+    assert {kind for _, kind in ends.dtypes} == {"bigint"} and ends.count() == 6
+    assert {kind for _, kind in clusters._spread(names, ends, 1).dtypes} == {"bigint"}
