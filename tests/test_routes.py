@@ -185,3 +185,8 @@ def test_rounds_deal_out_numbers_in_the_order_of_ids(spark):
     ends = clusters._ends(clusters._linked(g, names))
     assert {kind for _, kind in ends.dtypes} == {"bigint"} and ends.count() == 6
     assert {kind for _, kind in clusters._spread(names, ends, 1).dtypes} == {"bigint"}
+
+
+def test_rounds_of_the_forest_are_of_numbers(spark):
+    trees = routes.forest(routes.links(graph_of(spark, random_graph(6, 30, 60), [f"N{i:02}" for i in range(30)]), directed=True))
+    assert trees.rounds and all(dict(r.dtypes) == {"part": "bigint", "into": "bigint", "confidence": "double"} for r in trees.rounds)
