@@ -42,6 +42,18 @@ def test_evidence_of_hidden_cases_is_hidden(spark, small):
     assert seen("ann") == ["S1", "S3", "V1", "V2", "V4"] and len(seen("bob")) == 8 and seen("eve") == ["S3", "V1", "V4"]
 
 
+def test_told_types_of_ends_hide_the_same(spark, small):
+    """Only relationships that end in cases are joined with the allowed ones."""
+    policy = spark.createDataFrame([("ann", "CASE_1")], "username string, case_id string")
+    kinds = {"INVOLVED_IN": ("PERSON", "CASE"), "USES": ("PERSON", "PHONE")}
+    ends = lambda: small.entities.select("id").limit(0)
+    told = EvidenceGraph(small.entities, small.relationships, small.evidence, ends, kinds)
+    a, b = (access.visible(g, policy, "ann") for g in (small, told))
+    for part, key in (("entities", "id"), ("relationships", "id"), ("evidence", "evidence_id")):
+        assert sorted(r[key] for r in getattr(a, part).collect()) == sorted(r[key] for r in getattr(b, part).collect())
+    assert sorted(r["id"] for r in b.relationships.collect()) == ["R1", "R3"]
+
+
 def test_readers_change_nothing(spark, small):
     ids = spark.createDataFrame([("P1",)], "id string")
     changes = [
