@@ -3,12 +3,16 @@ that it touches and no other file.
 
 Entities lie in cells by type and by a hash of the id, relationships and evidence by a
 hash of theirs.  A change reads the cells that it touches, works out what they become,
-stages that, and writes it over them (partitionOverwriteMode=dynamic); a cell that
-becomes empty is removed.  One change at a time: two at once can lose one of the two.
+writes that beside the table, and moves the written cells to the place of the old ones;
+a cell that becomes empty is removed.  One change at a time: two at once can lose one of
+the two.  Every task writes its own files of the cells, so no row is dealt out; only what
+is small is written again, one file for each cell.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +23,8 @@ from ..operators.mutate import ROLE, Refused
 from ..schema import ENTITY, ENTITY_TYPES, EVIDENCE, RELATIONSHIP, conform
 
 CELLS = 16
+#: Bytes of what is written up to which it is dealt by cells.
+SMALL = 1 << 20
 KEYS = {"entities": "id", "relationships": "id", "evidence": "evidence_id"}
 _SCHEMAS = {"entities": ENTITY, "relationships": RELATIONSHIP, "evidence": EVIDENCE}
 
@@ -35,10 +41,33 @@ def _dealt(df: DataFrame, part: str) -> DataFrame:
     return df.withColumn("cell", _cell(KEYS[part]))
 
 
+def _at(*names: str):
+    return SparkSession.active()._jvm.org.apache.hadoop.fs.Path("/".join(names))
+
+
+def _files(spark: SparkSession, path: str):
+    return _at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _write(df: DataFrame, part: str, path: str) -> None:
+    spark, by, loose = df.sparkSession, _by(part), f"{path}-{uuid.uuid4().hex}"
+    files = _files(spark, path)
+    save = lambda rows, to: rows.write.option("compression", "zstd").partitionBy(*by).parquet(to)
+    save(df, loose)
+    if files.getContentSummary(_at(loose)).getLength() <= SMALL:
+        save(spark.read.schema(df.schema).parquet(loose).repartition(*by), path)
+        files.delete(_at(loose), True)
+    elif not files.rename(_at(loose), _at(path)):
+        raise OSError(f"{loose} could not be moved to {path}")
+
+
 def create(graph: EvidenceGraph, path: str) -> None:
     """Writes a graph as a new table; a path that is there is an error."""
+    files = _files(graph.entities.sparkSession, path)
     for part in KEYS:
-        _dealt(getattr(graph, part), part).repartition(*_by(part)).write.partitionBy(*_by(part)).parquet(f"{path}/{part}")
+        if files.exists(_at(path, part)):
+            raise FileExistsError(f"{path}/{part} is there")
+        _write(_dealt(getattr(graph, part), part), part, f"{path}/{part}")
 
 
 def read(spark: SparkSession, path: str) -> EvidenceGraph:
@@ -59,16 +88,23 @@ def _rewrite(spark: SparkSession, path: str, part: str, new: DataFrame | None, g
     raw = _raw(spark, path, part).where(F.col("cell").isin(cells))
     old = raw.join(keys, key, "left_semi").select(*by).distinct()
     dealt = None if new is None else checkpointed(_dealt(new, part))
-    touched = checkpointed((old if dealt is None else old.union(dealt.select(*by))).distinct())
-    rest = raw.join(touched, by, "left_semi").join(keys, key, "left_anti").select(raw.columns)
-    full = checkpointed(rest if dealt is None else rest.unionByName(dealt.select(raw.columns)))
-    full.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{part}")
-    empty = touched.join(full.select(*by).distinct(), by, "left_anti").collect()  # cells, at most CELLS for each type
-    jvm = spark.sparkContext._jvm
-    for r in empty:
-        where = jvm.org.apache.hadoop.fs.Path("/".join([f"{path}/{part}", *(f"{c}={r[c]}" for c in by)]))
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    return touched.count()
+    touched = [tuple(r) for r in (old if dealt is None else old.union(dealt.select(*by))).distinct().collect()]  # cells, at most CELLS for each type
+    if not touched:
+        return 0
+    these = F.struct(*by).isin([F.struct(*[F.lit(v) for v in cell]) for cell in touched]) if len(by) > 1 else F.col("cell").isin([c for (c,) in touched])
+    rest = raw.where(these).join(keys, key, "left_anti").select(raw.columns)
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    _write(rest if dealt is None else rest.unionByName(dealt.select(raw.columns)), part, staged)
+    files = _files(spark, path)
+    for cell in touched:
+        folders = [f"{c}={v}" for c, v in zip(by, cell)]
+        files.delete(_at(path, part, *folders), True)
+        if files.exists(_at(staged, *folders)):
+            files.mkdirs(_at(path, part, *folders[:-1]))
+            if not files.rename(_at(staged, *folders), _at(path, part, *folders)):
+                raise OSError(f"{'/'.join(folders)} of {part} could not be moved; it is in {staged}")
+    files.delete(_at(staged), True)
+    return len(touched)
 
 
 def upsert(spark: SparkSession, path: str, entities: DataFrame | None = None, relationships: DataFrame | None = None, evidence: DataFrame | None = None, role: str = ROLE) -> int:
