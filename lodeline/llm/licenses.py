@@ -12,7 +12,8 @@ that may suffice.  Both bounds hold for all units, so none is lost.
 
 Files without a notice of their own get the license of the license file in the
 nearest ancestor directory, by joining their ancestor paths with the directories
-of license files.
+of license files.  License files are told by name; where files have no names, by
+text: a notice in full and hardly anything beside it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from ._common import small, stage, table
 
 THRESHOLD = 0.6
+#: The least cosine at which a unit counts as a notice in full.
+FULL = 0.9
 #: Notices by license; fixed wording of the licenses' own notices.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -60,6 +63,7 @@ TEMPLATES = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("Proprietary", "Copyright. All rights reserved."),
 ]
+_TAG = r"(?i)\bSPDX-License-Identifier:[ \t]*[A-Za-z0-9.+\-]+"
 _FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice|copyright)([._\-][^/]*)?$"
 
 
@@ -71,7 +75,7 @@ def units(text: Column | str = "text") -> Column:
     """Lines, sentences, SPDX tags and paragraphs, each once."""
     lines = F.split(text, r"\r?\n")
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?|])\s+")))
-    tags = F.regexp_extract_all(text, F.lit(r"(?i)\bSPDX-License-Identifier:[ \t]*[A-Za-z0-9.+\-]+"), F.lit(0))
+    tags = F.regexp_extract_all(text, F.lit(_TAG), F.lit(0))
     paragraphs = F.split(text, r"\r?\n[ \t]*\r?\n")
     return F.array_distinct(F.transform(F.concat(lines, sentences, tags, paragraphs), F.trim))
 
@@ -156,25 +160,49 @@ def score(unit: Column, weights: Weights, needed: list[str], threshold: float =
     return _with(terms(unit), lambda w: F.when(F.exists(w, lambda t: t.isin(needed)), known_terms(w)))
 
 
-def own_licenses(text: Column, weights: Weights, needed: list[str], threshold: float = THRESHOLD) -> Column:
-    """Scores of a text's units that reach the threshold, best first; null if none can."""
+_FOUND = "array<struct<s:double,license:string,whole:boolean>>"
+
+
+def own_licenses(text: Column, weights: Weights, needed: list[str], threshold: float = THRESHOLD, by_text: bool = False) -> Column:
+    """Scores of a text's units that reach the threshold, best first; null if none can.
+    By text, the whole text is a unit too, and marked."""
     if not needed:
-        return F.lit(None).cast("array<struct<s:double,license:string>>")
-    found = F.filter(F.transform(units(text), lambda u: score(u, weights, needed, threshold)), lambda x: x.isNotNull())
-    ordered = F.array_sort(F.transform(found, lambda x: F.struct((-x["score"]).alias("s"), x["license"].alias("license"))))
+        return F.lit(None).cast(_FOUND)
+
+    def found(every: Column, whole: Column) -> Column:
+        scored = F.transform(every, lambda u: F.struct(score(u, weights, needed, threshold).alias("best"), F.coalesce(u == whole, F.lit(False)).alias("whole")))
+        reached = F.filter(scored, lambda x: x["best"].isNotNull())
+        return F.array_sort(F.transform(reached, lambda x: F.struct((-x["best"]["score"]).alias("s"), x["best"]["license"].alias("license"), x["whole"].alias("whole"))))
+
+    if by_text:
+        ordered = _with(F.trim(text), lambda whole: found(F.array_union(units(text), F.array(whole)), whole))
+    else:
+        ordered = found(units(text), F.lit(None).cast("string"))
     return F.when(F.exists(terms(text), lambda t: t.isin(needed)), ordered)
 
 
+def stated(own: Column, named: Column) -> Column:
+    """What a file states for its directory: all that it has if it is a license file by
+    name, else the licenses of its whole text that a unit of it has in full."""
+    full = lambda x: F.exists(own, lambda y: (y["license"] == x["license"]) & (y["s"] <= -FULL))
+    return F.when(named, own).otherwise(F.filter(own, lambda x: x["whole"] & full(x)))
+
+
 def folder(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, by_text: bool = False) -> DataFrame:
     """files(path, text, ...) -> all columns but text, with license, score,
-    origin (own, inherited or null), licenses (all of the file's own, sorted).
+    origin (own, inherited or null), licenses (all of the file's own, else all of
+    the directory that it inherits from; sorted).
+
+    by_text takes license files by their text too, for tables whose paths have no
+    file names; elsewhere a source file with nothing but a notice would be one.
 
-    Edges: a null or empty text has no license of its own but inherits; a null
-    path has no directory, so inherits nothing; ties go to the license first by
+    Edges: a null or empty text has no license of its own but inherits; a text with
+    an SPDX tag that is like no template has an unknown license and inherits none; a
+    null path has no directory, so inherits nothing; ties go to the license first by
     name; repeated rows are kept and equal; columns named as results are replaced,
     others may have any name; an empty table gives an empty result.
     """
@@ -182,27 +210,33 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     path = files["path"]
     start = F.when(path.isNotNull(), folder(path))
     named = F.coalesce(path.rlike(_FILE_NAME), F.lit(False))
+    tagged = F.coalesce(files["text"].rlike(_TAG), F.lit(False))
     weights = Weights(templates)
     needed = weights.needed(document_counts(files, list(weights.of)), threshold) if templates else []
-    own = F.coalesce(own_licenses(files["text"], weights, needed, threshold), F.array().cast("array<struct<s:double,license:string>>"))
-    rows = files.select(F.struct(*kept).alias("kept"), start.alias("start"), named.alias("named"), own.alias("own"))
+    own = F.coalesce(own_licenses(files["text"], weights, needed, threshold, by_text), F.array().cast(_FOUND))
+    rows = files.select(F.struct(*kept).alias("kept"), start.alias("start"), named.alias("named"), tagged.alias("tagged"), own.alias("own"))
     rows = stage(rows, "licensed")
-    best = F.get("own", 0)
-    above = rows.where(F.col("named") & (F.size("own") > 0)).groupBy(F.col("start").alias("folder")).agg(F.min(best).alias("b"))
+    every = rows.where(F.size("own") > 0).select(F.col("start").alias("folder"), F.explode(stated(F.col("own"), F.col("named"))).alias("x"))
+    above = every.groupBy("folder").agg(F.min("x").alias("b"), F.array_sort(F.collect_set("x.license")).alias("names"))
     above = small(stage(above, "folders"))
     # Ancestor folders of files that have none of their own, with their depth; distinct folders, not files, are joined.
-    starts = rows.where((F.size("own") == 0) & F.col("start").isNotNull()).select("start").distinct().withColumn("names", F.split("start", "/"))
-    depth = F.sequence(F.lit(0), F.size("names"))
-    up = starts.select("start", F.explode(F.transform(depth, lambda i: F.struct(F.array_join(F.slice("names", F.lit(1), i), "/").alias("folder"), i.alias("depth")))).alias("a"))
-    nearest = up.select("start", "a.folder", "a.depth").join(above, "folder").groupBy("start").agg(F.max_by("b", "depth").alias("n"))
-    out = rows.join(small(stage(nearest, "nearest")), "start", "left")
     has = F.size("own") > 0
-    found = F.when(has, best).otherwise(F.col("n"))
-    origin = F.when(has, "own").when(F.col("n").isNotNull(), "inherited")
-    names = F.array_sort(F.array_distinct(F.transform("own", lambda x: x["license"])))
+    bare = ~has & ~F.col("tagged")
+    starts = rows.where(bare & F.col("start").isNotNull()).select("start").distinct().withColumn("parts", F.split("start", "/"))
+    depth = F.sequence(F.lit(0), F.size("parts"))
+    up = starts.select("start", F.explode(F.transform(depth, lambda i: F.struct(F.array_join(F.slice("parts", F.lit(1), i), "/").alias("folder"), i.alias("depth")))).alias("a"))
+    nearest = up.select("start", "a.folder", "a.depth").join(above, "folder").groupBy("start").agg(F.max_by(F.struct("b", "names"), "depth").alias("n"))
+    out = rows.join(small(stage(nearest, "nearest")), "start", "left")
+    inherits = bare & F.col("n").isNotNull()
+    found = F.when(has, F.get("own", 0)).when(inherits, F.col("n.b"))
+    origin = F.when(has, "own").when(inherits, "inherited")
+    names = F.when(inherits, F.col("n.names")).otherwise(F.array_sort(F.array_distinct(F.transform("own", lambda x: x["license"]))))
     return out.select("kept.*", found["license"].alias("license"), (-found["s"]).alias("score"), origin.alias("origin"), names.alias("licenses"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is the directory of its documents; its license files are told by their
+    text, as documents have no file names.  A document without a source has no path."""
     docs = table(spark, sf_dir, "documents")
-    return scan(docs.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text"))
+    path = F.when(F.col("source") != "", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
+    return scan(docs.select("doc_id", path.alias("path"), "text"), by_text=True)

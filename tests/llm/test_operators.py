@@ -455,6 +455,31 @@ def test_licenses_beside_copyright(spark):
     assert [(r["path"], r["license"]) for r in sorted(got)] == [(p, w) for p, _, w in rows]
 
 
+def test_licenses_of_a_source(spark, tmp_path):
+    """Documents inherit from those of their source that are a notice and hardly more."""
+    gpl, mit = "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License."
+    long = prose(random.Random(3), 60)
+    rows = [
+        (1, "two words\n" + gpl, "a"), (2, long, "a"), (3, None, "a"), (4, long + "\n" + mit, "a"), (5, long, "a/b"), (6, "zq SPDX-License-Identifier: Zq-7.7", "a"),  # a states GPL
+        (7, long + "\n" + gpl, "c"), (8, long, "c"), (9, "nd by", "c"),  # c states nothing: long text, or not a notice in full
+        (10, gpl, "d"), (11, "\n" + mit + "\n\n", "d"), (12, "", "d"), (12, "", "d"),  # d states two
+        (13, gpl, None), (14, long, None), (15, gpl, ""), (16, long, ""), (17, long, "e"),  # no source: rules nobody
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["origin"], r["license"], r["licenses"]) for r in licenses.op5_licenses(spark, str(tmp_path)).collect())
+    assert len(got) == len(rows)
+    inherited = [(i, x, all_) for i, origin, x, all_ in got if origin == "inherited"]
+    assert inherited == [(i, "GPL-3.0", ["GPL-3.0"]) for i in (2, 3, 5)] + [(12, "GPL-3.0", ["GPL-3.0", "MIT"])] * 2
+    assert {i: x for i, origin, x, _ in got if origin == "own"} == {1: "GPL-3.0", 4: "MIT", 7: "GPL-3.0", 9: "CC-BY-ND-4.0", 10: "GPL-3.0", 11: "MIT", 13: "GPL-3.0", 15: "GPL-3.0"}
+    assert [i for i, origin, *_ in got if not origin] == [6, 8, 14, 16, 17]
+
+
+def test_licenses_with_an_unknown_tag_are_not_inherited(spark):
+    rows = [("a/LICENSE", "Released under the MIT License.", "MIT"), ("a/x.py", "code", "MIT"), ("a/y.py", "# SPDX-License-Identifier: Zq-7.7\ncode", None), ("a/b/__init__.py", "# Released under the MIT License.", "MIT"), ("a/c.py", "# Licensed under CC BY 4.0.", "CC-BY-4.0")]
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string, want string")).collect()
+    assert [(r["path"], r["license"]) for r in sorted(got)] == sorted((p, w) for p, _, w in rows)
+
+
 def test_mixing(docs, corpus, none):
     got = mixing.mix(docs).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
