@@ -190,3 +190,19 @@ def test_rounds_deal_out_numbers_in_the_order_of_ids(spark):
 def test_rounds_of_the_forest_are_of_numbers(spark):
     trees = routes.forest(routes.links(graph_of(spark, random_graph(6, 30, 60), [f"N{i:02}" for i in range(30)]), directed=True))
     assert trees.rounds and all(dict(r.dtypes) == {"part": "bigint", "into": "bigint", "confidence": "double"} for r in trees.rounds)
+
+
+@pytest.mark.parametrize("n,block,few", [(1_010, 256, 127), (40, 3, 127), (40, 3, 5)])
+def test_no_size_of_a_crowd_leaves_pairs_out(spark, monkeypatch, n, block, few):
+    """Few or many different confidences and beginnings of ids, and more classes than blocks hold."""
+    monkeypatch.setattr(bridges, "BLOCK", block)
+    monkeypatch.setattr(bridges, "FEW", few)
+    people = [f"P{i:04}" for i in range(n)]
+    case = {p: f"K\n{i}\n" if i % 20 == 3 else f"C{i}" for i, p in enumerate(people)}
+    strength = {p: round(0.5 + i / 4_000, 4) for i, p in enumerate(people)}
+    g = graph_of(spark, [(p, case[p], 0.9) for p in people] + [(p, "T", strength[p]) for p in people], (), {c: "CASE" for c in case.values()})
+    ids = g.entities.where("entity_type = 'CASE'").select("id")
+    got = bridges.between_classes(g.edges().select("src", "dst", "confidence"), ids)
+    of = {case[p]: strength[p] for p in people}
+    want = {(a, b): ("CLASSES", 4, min(of[a], of[b]), "T", 1) for a, b in combinations(sorted(of), 2)}
+    assert {(r["first_class"], r["second_class"]): (r["kind"], r["hop_count"], r["confidence"], r["via"], r["case_pairs"]) for r in got.collect()} == want
