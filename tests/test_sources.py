@@ -127,3 +127,13 @@ def test_search_reads_only_the_buckets_of_its_trigrams(spark):
         spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
     assert re.search("SelectedBucketsCount: [123] out of 16", plan)
     assert [r["id"] for r in postings.search(found, "c4ca4238").collect()] == [1]
+
+
+def test_postings_take_few_rows(spark):
+    """A batch of texts is one row of a trigram, not a row for each text; numbers rise within a task only."""
+    df = spark.range(0, 4_000, 1, 4).select("id", F.concat(F.lit("one text \U0001f600 "), F.col("id").cast("string")).alias("text"))
+    found = postings.index(df, 4)
+    assert found.lists.where("gram = 'one'").count() <= 8
+    counts = {r["gram"]: r["n"] for r in found.counts.collect()}
+    assert counts["one"] == counts[" \U0001f600 "] == 4_000 and counts["399"] == sum("399" in str(i) for i in range(4_000))
+    assert sorted(r["id"] for r in postings.search(found, "\U0001f600 399").collect()) == [i for i in range(4_000) if str(i).startswith("399")]
